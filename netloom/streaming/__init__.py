@@ -1,0 +1,2 @@
+"""Intentionally empty: the network dataset changes only by rebuilding its snapshot,
+so the library has no unbounded sources, watermarks or stateful operators."""

@@ -342,13 +342,15 @@ def route_stops_by_station(net: Network, req: DataFrame, include_untyped: bool =
     """Stops of the patterns serving both stations; optionally also the stations of the
     common line no such pattern covers.  Rows order by (part, sort_major, sort_minor).
 
-    ``req(req_id, from_station, to_station, via_lines?, direction?)``.
+    ``req(req_id, from_station, to_station, direction, via_lines?)``; the request's direction
+    comes back as ``req_direction``.
     """
     known = net.stations.select("station_cd")
-    req = (req.join(known.withColumnRenamed("station_cd", "from_station"), "from_station", "left_semi")
+    req = (req.withColumnRenamed("direction", "req_direction")
+           .join(known.withColumnRenamed("station_cd", "from_station"), "from_station", "left_semi")
            .join(known.withColumnRenamed("station_cd", "to_station"), "to_station", "left_semi"))
     shared = shared_patterns(net, req, "station_cd", None, "from_station", "to_station")
-    sign = F.when(F.col("direction").eqNullSafe(F.lit(1)), F.lit(-1)).otherwise(F.lit(1))
+    sign = F.when(F.col("req_direction").eqNullSafe(F.lit(1)), F.lit(-1)).otherwise(F.lit(1))
     typed = _via_ok(shared.join(wide_typed_stops(net), "line_group_cd"), "via_lines").withColumns({
         "part": F.lit(1), "sort_major": sign * F.col("sst_id"), "sort_minor": F.lit(0).cast("bigint")})
     if not include_untyped:
@@ -611,27 +613,23 @@ def search_lines(net: Network, req: DataFrame) -> DataFrame:
     pairs = substring_matches(by_field.where("value <> ''").select("field", "value").distinct(),
                               asked.select("needle", fields).distinct())
     hits = pairs.join(by_field, ["field", "value"]).select("needle", "line_cd").distinct()
-    # An empty query is contained in every name.
-    everything = (asked.where("needle = ''").select("req_id")
-                  .withColumn("line_cd", F.lit(None).cast("bigint")))
     found = asked.join(hits, "needle")
-    limit = F.coalesce(F.col("limit"), F.lit(1)) if "limit" in req.columns else F.lit(1)
     if "limit" not in req.columns:
-        found = C.first_by(found, ["req_id"], ["line_cd"]).withColumn("rank", F.lit(1))
-        blank = _first_lines_for_blank(lines, asked, limit)
-        return found.unionByName(blank).join(lines, "line_cd")
-    ranked = _rank_lines(found, limit)
-    return ranked.unionByName(_first_lines_for_blank(lines, asked, limit)).join(lines, "line_cd")
-
-
-def _rank_lines(found: DataFrame, limit: Column) -> DataFrame:
-    from pyspark.sql import Window
-    w = Window.partitionBy("req_id").orderBy("line_cd")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-
-
-def _first_lines_for_blank(lines: DataFrame, asked: DataFrame, limit: Column) -> DataFrame:
-    numbered = C.number_in_group(lines.select("line_cd").withColumn("_all", F.lit(0)), ["_all"],
-                                 "line_cd", "rank").drop("_all")
-    blank = asked.where("needle = ''").withColumn("_limit", limit)
-    return blank.join(numbered, F.col("rank") <= F.col("_limit")).drop("_limit")
+        found = C.first_by(found, ["req_id"], ["line_cd"]).withColumn("rank", F.lit(1).cast("bigint"))
+    else:
+        found = (C.number_in_group(found, ["req_id"], "line_cd", "rank")
+                 .where(F.col("rank") <= F.coalesce(F.col("limit"), F.lit(1))))
+    return found.unionByName(_blank_line_queries(lines, asked)).join(lines, "line_cd").drop("needle")
+
+
+def _blank_line_queries(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """An empty query is contained in every name: the first ``limit`` lines."""
+    numbered = C.assign_serial(lines.select("line_cd"), ["line_cd"], "rank")
+    total = lines.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    limit = F.coalesce(F.col("limit"), F.lit(1)) if "limit" in asked.columns else F.lit(1)
+    ranks = (asked.where("needle = ''").crossJoin(F.broadcast(total))
+             .where(limit.cast("bigint").between(1, UNLIMITED) & (F.col("_total") > 0))
+             .withColumn("rank", F.explode(F.sequence(F.lit(1).cast("bigint"),
+                                                      F.least(limit.cast("bigint"), F.col("_total")))))
+             .drop("_total"))
+    return ranks.join(numbered, "rank")

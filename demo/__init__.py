@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["lookups", "spatial", "rides"]
+_MODULES = ["lookups", "spatial", "rides", "nested"]
 
 
 def load_all() -> None:

@@ -201,3 +201,15 @@ def group_totals(df: DataFrame, keys: list[str], aggs: dict[str, Column],
         w = Window.partitionBy(*keys)
         return df.withColumns({o: a.over(w) for o, a in aggs.items()})
     return attach_group_totals(df, keys, [a.alias(o) for o, a in aggs.items()])
+
+
+def set_digest(member: Column) -> list[Column]:
+    """Aggregates identifying a set of distinct members: its size and two independently
+    seeded 64-bit XORs.  They combine partially, so no set is gathered in memory."""
+    present = member.isNotNull()
+    return [F.count(member).alias("set_size"),
+            F.coalesce(F.bit_xor(F.when(present, F.xxhash64(member))), F.lit(0)).alias("set_h1"),
+            F.coalesce(F.bit_xor(F.when(present, F.xxhash64(F.lit("second"), member))), F.lit(0)).alias("set_h2")]
+
+
+SET_DIGEST = ["set_size", "set_h1", "set_h2"]

@@ -55,8 +55,7 @@ def segment_signatures(stops: DataFrame, bound: int | None = None, chunk: int =
     """Digest of the set of station groups served between the ends of each request and
     pattern; no row when an end is missing.
 
-    The set is reduced to its size and two independently seeded 64-bit XORs, so equal sets
-    give equal digests and no set is ever gathered in memory.
+    Equal sets give equal digests; see ``common.set_digest``.
     """
     rows = group_routes(stops, bound=bound, chunk=chunk)
     rows = C.group_totals(rows, ["req_id", "line_group_cd"], {
@@ -65,11 +64,8 @@ def segment_signatures(stops: DataFrame, bound: int | None = None, chunk: int =
     inside = rows.where("_a is not null and _b is not null and pos between least(_a, _b) and greatest(_a, _b)")
     served = F.col("station_g_cd")
     distinct = (inside.select("req_id", "line_group_cd", F.when(C.not_passing(), served).alias("g")).distinct())
-    return distinct.groupBy("req_id", "line_group_cd").agg(F.struct(
-        F.count("g").alias("size"),
-        F.bit_xor(F.when(F.col("g").isNotNull(), F.xxhash64("g"))).alias("h1"),
-        F.bit_xor(F.when(F.col("g").isNotNull(), F.xxhash64(F.lit("second"), "g"))).alias("h2"),
-    ).alias("signature"))
+    return (distinct.groupBy("req_id", "line_group_cd").agg(*C.set_digest(F.col("g")))
+            .select("req_id", "line_group_cd", F.struct(*C.SET_DIGEST).alias("signature")))
 
 
 def route_types(net: Network, req: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -63,7 +63,7 @@ COLUMNS: dict[str, list[tuple[str, str]]] = {
 # Integer key each table is written by. (fixed values)
 KEYS = {
     "companies": "company_cd", "lines": "line_cd", "stations": "station_cd",
-    "types": "type_cd", "station_station_types": "id", "aliases": "id", "line_aliases": "id",
+    "types": "id", "station_station_types": "id", "aliases": "id", "line_aliases": "id",
 }
 
 # The seven columns an alias may override on a line. (fixed values)

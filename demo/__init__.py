@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["lookups", "spatial", "rides", "nested"]
+_MODULES = ["lookups", "spatial", "rides", "nested", "builds"]
 
 
 def load_all() -> None:

@@ -40,3 +40,40 @@ def hash_prefixed_color(c: Column) -> Column:
     """`RRGGBB` to `#RRGGBB`; blank becomes NULL."""
     v = F.nullif(F.trim(c), F.lit(""))
     return F.when(v.startswith("#"), v).otherwise(F.concat(F.lit("#"), v))
+
+
+# Vowels with a macron and their plain forms. (fixed values)
+MACRONS, PLAIN_VOWELS = "āīūēōĀĪŪĒŌ", "aiueoAIUEO"
+
+
+def strip_macrons(c: Column) -> Column:
+    return F.translate(c, MACRONS, PLAIN_VOWELS)
+
+
+def title_case(c: Column) -> Column:
+    """Upper-case the first letter of every run of letters and leave the rest alone."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
+
+
+# --------------------------------------------------------------------------- match key
+
+_SUFFIXES = "(駅|停留所|停留場)$"
+
+
+def gtfs_minutes(c: Column) -> Column:
+    """`HH:MM[:SS]` as minutes, hours past 24 allowed; anything else NULL."""
+    p = F.split(F.trim(c), ":")
+    n = [F.expr("1").cast("double")] * 3
+    n = [F.get(p, F.lit(i)).try_cast("double") for i in range(3)]
+    return F.when((F.size(p) >= 2) & (F.size(p) <= 3), n[0] * 60.0 + n[1] + F.coalesce(n[2], F.lit(0.0)) / 60.0)
+
+
+def clock_time(c: Column) -> Column:
+    """`HH:MM:SS` as it is, `H:MM` as zero-padded `HH:MM:00`; unreadable is NULL."""
+    full = c.rlike(r"^\+?\d+:\+?\d+:\+?\d+$")
+    p = F.split(c, ":")
+    hour, minute = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+    short = c.rlike(r"^\+?\d+:\+?\d+$") & (minute.try_cast("int") < 60)
+    pad = lambda v: F.when(F.length(v.cast("string")) < 2, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
+    return F.when(full, c).when(short, F.concat(pad(hour.try_cast("int")), F.lit(":"), pad(minute.try_cast("int")), F.lit(":00")))

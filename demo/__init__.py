@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["lookups", "spatial", "rides", "nested", "builds"]
+_MODULES = ["lookups", "spatial", "rides", "nested", "builds", "transfers"]
 
 
 def load_all() -> None:

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["lookups", "spatial", "rides", "nested", "builds", "transfers"]
+_MODULES = ["lookups", "spatial", "rides", "nested", "builds", "transfers", "speech", "calibration"]
 
 
 def load_all() -> None:

@@ -98,3 +98,18 @@ def kana_to_romaji(c: Column) -> Column:
 def romaji_display_name(c: Column) -> Column:
     """Title-cased romaji for name columns."""
     return F.initcap(kana_to_romaji(c))
+
+
+# Full-width ASCII block and the ideographic space with their plain forms. (fixed values)
+_WIDE_ASCII = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
+_PLAIN_ASCII = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+
+
+def fold_width(c: Column) -> Column:
+    """Full-width ASCII to plain, half-width kana to full-width; hiragana stays."""
+    half = dict(zip(_FULL, _HALF))
+    out = c
+    for plain, voiced in zip(_VOICED_FROM + _SEMI_FROM, _VOICED_TO + _SEMI_TO):
+        mark = "ﾟ" if voiced in _SEMI_TO else "ﾞ"
+        out = F.replace(out, F.lit(half[plain] + mark), F.lit(voiced))
+    return F.translate(out, _HALF + _WIDE_ASCII, _FULL + _PLAIN_ASCII)

@@ -56,15 +56,9 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
 
 
-# --------------------------------------------------------------------------- match key
-
-_SUFFIXES = "(駅|停留所|停留場)$"
-
-
 def gtfs_minutes(c: Column) -> Column:
     """`HH:MM[:SS]` as minutes, hours past 24 allowed; anything else NULL."""
     p = F.split(F.trim(c), ":")
-    n = [F.expr("1").cast("double")] * 3
     n = [F.get(p, F.lit(i)).try_cast("double") for i in range(3)]
     return F.when((F.size(p) >= 2) & (F.size(p) <= 3), n[0] * 60.0 + n[1] + F.coalesce(n[2], F.lit(0.0)) / 60.0)
 
@@ -77,3 +71,15 @@ def clock_time(c: Column) -> Column:
     short = c.rlike(r"^\+?\d+:\+?\d+$") & (minute.try_cast("int") < 60)
     pad = lambda v: F.when(F.length(v.cast("string")) < 2, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string"))
     return F.when(full, c).when(short, F.concat(pad(hour.try_cast("int")), F.lit(":"), pad(minute.try_cast("int")), F.lit(":00")))
+
+
+def match_key(name: Column) -> Column:
+    """Station name for comparison: width and case variants folded, spaces, middle dots and
+    bracketed notes dropped, a trailing word for station removed."""
+    # Compatibility forms of the characters names use: ASCII block, brackets, half-width kana.
+    from netloom.functions.kana import fold_width
+    s = F.trim(fold_width(F.coalesce(name, F.lit(""))))
+    s = F.regexp_replace(s, r"[\s・]", "")
+    s = F.regexp_replace(s, r"\(.*?\)", "")
+    s = F.translate(s, "ヶノ", "ケの")
+    return F.regexp_replace(s, "(停留場|停留所|駅前|駅)$", "")

@@ -66,6 +66,11 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
 def top_by(df: DataFrame, keys: list[str], order: list, limit: Column, cap: int,
            rank: str = "rank") -> DataFrame:
     """At most ``limit`` rows per key, ``cap`` being the literal upper bound of ``limit``
@@ -96,15 +101,15 @@ def number_in_group(df: DataFrame, keys: list[str], order: str, out: str,
     """Dense 1..n per group by a unique integer ``order`` column."""
     if _fits(bound, chunk):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    cut = df.withColumn("_c", F.floor(F.col(order) / chunk))
-    counts = cut.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.sum("_n").over(before)).where("_off > 0").drop("_n")
+    cut = df.withColumn("__c", F.floor(F.col(order) / chunk))
+    counts = cut.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.sum("__n").over(before)).where("__off > 0").drop("__n")
     numbered = cut.withColumn(
-        "_r", F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(order)))
-    return (_left_null_safe(numbered, offsets, [*keys, "_c"])
-            .withColumn(out, F.col("_r") + F.coalesce("_off", F.lit(0)))
-            .drop("_c", "_r", "_off"))
+        "__r", F.row_number().over(Window.partitionBy(*keys, "__c").orderBy(order)))
+    return (_left_null_safe(numbered, offsets, [*keys, "__c"])
+            .withColumn(out, F.col("__r") + F.coalesce("__off", F.lit(0)))
+            .drop("__c", "__r", "__off"))
 
 
 def lag_in_group(df: DataFrame, keys: list[str], pos: str, cols: dict[str, str],
@@ -113,18 +118,18 @@ def lag_in_group(df: DataFrame, keys: list[str], pos: str, cols: dict[str, str],
     if _fits(bound, chunk):
         w = Window.partitionBy(*keys).orderBy(pos)
         return df.withColumns({o: F.lag(c).over(w) for o, c in cols.items()})
-    cut = df.withColumn("_c", F.floor(F.col(pos) / chunk))
-    last = cut.groupBy(*keys, "_c").agg(
-        F.max_by(F.struct(*[F.col(c).alias(o) for o, c in cols.items()]), F.col(pos)).alias("_last"))
-    carry = (last.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_c")))
-             .where("_prev is not null").drop("_last"))
-    w = Window.partitionBy(*keys, "_c").orderBy(pos)
-    marked = cut.withColumns({"_first": F.row_number().over(w) == 1,
-                              **{f"_l_{o}": F.lag(c).over(w) for o, c in cols.items()}})
-    joined = _left_null_safe(marked, carry, [*keys, "_c"])
+    cut = df.withColumn("__c", F.floor(F.col(pos) / chunk))
+    last = cut.groupBy(*keys, "__c").agg(
+        F.max_by(F.struct(*[F.col(c).alias(o) for o, c in cols.items()]), F.col(pos)).alias("__last"))
+    carry = (last.withColumn("__prev", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__c")))
+             .where("__prev is not null").drop("__last"))
+    w = Window.partitionBy(*keys, "__c").orderBy(pos)
+    marked = cut.withColumns({"__first": F.row_number().over(w) == 1,
+                              **{f"__l_{o}": F.lag(c).over(w) for o, c in cols.items()}})
+    joined = _left_null_safe(marked, carry, [*keys, "__c"])
     return joined.withColumns({
-        o: F.when(F.col("_first"), F.col(f"_prev.{o}")).otherwise(F.col(f"_l_{o}")) for o in cols
-    }).drop("_c", "_first", "_prev", *[f"_l_{o}" for o in cols])
+        o: F.when(F.col("__first"), F.col(f"__prev.{o}")).otherwise(F.col(f"__l_{o}")) for o in cols
+    }).drop("__c", "__first", "__prev", *[f"__l_{o}" for o in cols])
 
 
 def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column],
@@ -133,29 +138,29 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column
     if _fits(bound, chunk):
         w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: F.sum(c).over(w) for o, c in sums.items()})
-    cut = df.withColumns({"_c": F.floor(F.col(pos) / chunk), **{f"_v_{o}": c for o, c in sums.items()}})
-    totals = cut.groupBy(*keys, "_c").agg(*[F.sum(f"_v_{o}").alias(f"_t_{o}") for o in sums])
-    before = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("_c"))
-    carry = (totals.withColumns({"_k": first, **{f"_b_{o}": F.sum(f"_t_{o}").over(before) for o in sums}})
-             .where("_k > 1").drop("_k", *[f"_t_{o}" for o in sums]))
-    w = Window.partitionBy(*keys, "_c").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    part = cut.withColumns({f"_s_{o}": F.sum(f"_v_{o}").over(w) for o in sums})
-    joined = _left_null_safe(part, carry, [*keys, "_c"])
+    cut = df.withColumns({"__c": F.floor(F.col(pos) / chunk), **{f"__v_{o}": c for o, c in sums.items()}})
+    totals = cut.groupBy(*keys, "__c").agg(*[F.sum(f"__v_{o}").alias(f"__t_{o}") for o in sums])
+    before = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("__c"))
+    carry = (totals.withColumns({"__k": first, **{f"__b_{o}": F.sum(f"__t_{o}").over(before) for o in sums}})
+             .where("__k > 1").drop("__k", *[f"__t_{o}" for o in sums]))
+    w = Window.partitionBy(*keys, "__c").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    part = cut.withColumns({f"__s_{o}": F.sum(f"__v_{o}").over(w) for o in sums})
+    joined = _left_null_safe(part, carry, [*keys, "__c"])
     return joined.withColumns({
-        o: F.col(f"_s_{o}") + F.coalesce(F.col(f"_b_{o}"), F.lit(0)) for o in sums
-    }).drop("_c", *[f"{p}{o}" for o in sums for p in ("_v_", "_s_", "_b_")])
+        o: F.col(f"__s_{o}") + F.coalesce(F.col(f"__b_{o}"), F.lit(0)) for o in sums
+    }).drop("__c", *[f"{p}{o}" for o in sums for p in ("__v_", "__s_", "__b_")])
 
 
 def _left_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     renamed = right
     for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_k_{k}")
+        renamed = renamed.withColumnRenamed(k, f"__key_{k}")
     cond = None
     for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        c = F.col(k).eqNullSafe(F.col(f"__key_{k}"))
         cond = c if cond is None else cond & c
-    return left.join(renamed, cond, "left").drop(*[f"_k_{k}" for k in keys])
+    return left.join(renamed, cond, "left").drop(*[f"__key_{k}" for k in keys])
 
 
 def attach_group_totals(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:

@@ -15,7 +15,8 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     half_lat = F.sin(F.radians(lat2 - lat1) / 2.0)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2.0)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2.0 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # `least` would turn a missing coordinate into the antipode; `when` keeps it NULL.
+    return F.lit(2.0 * radius) * F.asin(F.when(a >= 1.0, F.lit(1.0)).otherwise(F.sqrt(a)))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

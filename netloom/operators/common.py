@@ -4,7 +4,8 @@ A window over one group is sorted inside one task.  Groups here (a stop pattern,
 line, a request) can in principle hold a large share of all rows, so the sequence
 helpers work on fixed-width chunks of the position column whenever the longest group
 is unknown or exceeds ``CHUNK``; chunk summaries, at most rows/CHUNK of them per group,
-carry the state across chunk borders.
+carry the state across chunk borders.  That path reads its input twice, so it writes the
+input first: chained steps then stay linear in cost.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def number_in_group(df: DataFrame, keys: list[str], order: str, out: str,
     """Dense 1..n per group by a unique integer ``order`` column."""
     if _fits(bound, chunk):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    cut = df.withColumn("__c", F.floor(F.col(order) / chunk))
+    cut = materialize(df.withColumn("__c", F.floor(F.col(order) / chunk)), "chunks")
     counts = cut.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.sum("__n").over(before)).where("__off > 0").drop("__n")
@@ -118,7 +119,7 @@ def lag_in_group(df: DataFrame, keys: list[str], pos: str, cols: dict[str, str],
     if _fits(bound, chunk):
         w = Window.partitionBy(*keys).orderBy(pos)
         return df.withColumns({o: F.lag(c).over(w) for o, c in cols.items()})
-    cut = df.withColumn("__c", F.floor(F.col(pos) / chunk))
+    cut = materialize(df.withColumn("__c", F.floor(F.col(pos) / chunk)), "chunks")
     last = cut.groupBy(*keys, "__c").agg(
         F.max_by(F.struct(*[F.col(c).alias(o) for o, c in cols.items()]), F.col(pos)).alias("__last"))
     carry = (last.withColumn("__prev", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__c")))
@@ -138,7 +139,8 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column
     if _fits(bound, chunk):
         w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: F.sum(c).over(w) for o, c in sums.items()})
-    cut = df.withColumns({"__c": F.floor(F.col(pos) / chunk), **{f"__v_{o}": c for o, c in sums.items()}})
+    cut = materialize(df.withColumns({"__c": F.floor(F.col(pos) / chunk),
+                                      **{f"__v_{o}": c for o, c in sums.items()}}), "chunks")
     totals = cut.groupBy(*keys, "__c").agg(*[F.sum(f"__v_{o}").alias(f"__t_{o}") for o in sums])
     before = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("__c"))
@@ -205,7 +207,7 @@ def group_totals(df: DataFrame, keys: list[str], aggs: dict[str, Column],
     if _fits(bound, chunk):
         w = Window.partitionBy(*keys)
         return df.withColumns({o: a.over(w) for o, a in aggs.items()})
-    return attach_group_totals(df, keys, [a.alias(o) for o, a in aggs.items()])
+    return attach_group_totals(materialize(df, "totals"), keys, [a.alias(o) for o, a in aggs.items()])
 
 
 def set_digest(member: Column) -> list[Column]:

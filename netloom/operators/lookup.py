@@ -338,6 +338,13 @@ def route_stops(net: Network, req: DataFrame, wide: bool = True) -> DataFrame:
     return _via_ok(shared.join(stops, "line_group_cd"), "via_lines")
 
 
+def known_ends(net: Network, req: DataFrame) -> DataFrame:
+    """Requests both of whose stations exist."""
+    known = net.stations.select("station_cd")
+    return (req.join(known.withColumnRenamed("station_cd", "from_station"), "from_station", "left_semi")
+            .join(known.withColumnRenamed("station_cd", "to_station"), "to_station", "left_semi"))
+
+
 def route_stops_by_station(net: Network, req: DataFrame, include_untyped: bool = False) -> DataFrame:
     """Stops of the patterns serving both stations; optionally also the stations of the
     common line no such pattern covers.  Rows order by (part, sort_major, sort_minor).
@@ -345,10 +352,7 @@ def route_stops_by_station(net: Network, req: DataFrame, include_untyped: bool =
     ``req(req_id, from_station, to_station, direction, via_lines?)``; the request's direction
     comes back as ``req_direction``.
     """
-    known = net.stations.select("station_cd")
-    req = (req.withColumnRenamed("direction", "req_direction")
-           .join(known.withColumnRenamed("station_cd", "from_station"), "from_station", "left_semi")
-           .join(known.withColumnRenamed("station_cd", "to_station"), "to_station", "left_semi"))
+    req = known_ends(net, req).withColumnRenamed("direction", "req_direction")
     shared = shared_patterns(net, req, "station_cd", None, "from_station", "to_station")
     sign = F.when(F.col("req_direction").eqNullSafe(F.lit(1)), F.lit(-1)).otherwise(F.lit(1))
     typed = _via_ok(shared.join(wide_typed_stops(net), "line_group_cd"), "via_lines").withColumns({
@@ -511,15 +515,16 @@ def substring_matches(values: DataFrame, queries: DataFrame) -> DataFrame:
     up by its rarest run of up to three characters, so the comparison is an equi-join plus
     an exact check instead of every needle against every value.
     """
+    needles = queries.where(F.char_length("needle") > 0)
+    size = F.least(F.char_length("needle"), F.lit(3))
+    runs = needles.select("field", "needle", F.explode(F.when(size == 1, _grams(F.col("needle"), 1))
+                                                       .when(size == 2, _grams(F.col("needle"), 2))
+                                                       .otherwise(_grams(F.col("needle"), 3))).alias("gram"))
+    # Only runs that occur in some needle are of interest, so the index is cut to them first.
     index = values.select("field", "value", F.explode(F.array_distinct(F.concat(
         *[F.coalesce(_grams(F.col("value"), n), F.array().cast("array<string>")) for n in (1, 2, 3)]
-    ))).alias("gram"))
+    ))).alias("gram")).join(runs.select("field", "gram").distinct(), ["field", "gram"], "left_semi")
     frequency = index.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("df"))
-    needles = queries.where(F.char_length("needle") > 0)
-    runs = needles.select("field", "needle", F.explode(
-        F.when(F.char_length("needle") == 1, _grams(F.col("needle"), 1))
-        .when(F.char_length("needle") == 2, _grams(F.col("needle"), 2))
-        .otherwise(_grams(F.col("needle"), 3))).alias("gram"))
     # A run absent from the index means no value can contain the needle.
     scored = runs.join(frequency, ["field", "gram"], "left").na.fill({"df": 0})
     rarest = C.first_by(scored, ["field", "needle"], [F.col("df"), F.col("gram")]).where("df > 0").drop("df")

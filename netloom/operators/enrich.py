@@ -170,7 +170,8 @@ def nearby_bus_lines(net: Network, stations: DataFrame) -> DataFrame:
     spots = (rail.select("req_id", "station_cd", "station_g_cd", "lat", "lon").distinct()
              .join(anchors, ["req_id", "station_g_cd"]))
     places = spots.select("a_lat", "a_lon", "lat", "lon").distinct()
-    near = (places.join(stops, ["a_lat", "a_lon"])
+    # Used for the lines and for the stop shown with each, so the search result is kept.
+    near = (places.join(C.materialize(stops, "near-stops"), ["a_lat", "a_lon"])
             .where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
                    <= S.BUS_STOP_RADIUS_M))
     place = ["a_lat", "a_lon", "lat", "lon"]

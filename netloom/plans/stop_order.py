@@ -150,10 +150,10 @@ def renumber(positions: DataFrame) -> DataFrame:
 def stop_route_positions(stop_times: DataFrame, trips: DataFrame, stops: DataFrame,
                          chunk: int = C.CHUNK) -> DataFrame:
     """(route_id, parent, position) for every physical stop a route visits."""
-    rows = trip_rows(stop_times, trips, stops)
+    rows = C.materialize(trip_rows(stop_times, trips, stops), "trip-rows")
     bound = C.largest_group(stop_times, ["trip_id"])
-    mains = main_trip(trip_stats(rows), canonical_shape(shape_stats(rows)))
-    on_main = main_stops(rows, mains)
+    mains = C.materialize(main_trip(trip_stats(rows), canonical_shape(shape_stats(rows))), "main-trips")
+    on_main = C.materialize(main_stops(rows, mains), "main-stops")
     ends = on_main.groupBy("route_id").agg(F.max("seq").cast("double").alias("max_seq"))
     variants = resolve_chains(C.materialize(variant_only(rows, mains, on_main, bound, chunk), "variants"), on_main)
     same = F.col("direction_id").isNull() | F.coalesce(

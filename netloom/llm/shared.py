@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +36,25 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+_SHIPPED: set[str] = set()
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(fn, schema)`` whose workers can import this package.
+
+    They find it if it is installed or on PYTHONPATH, or if they start in its folder; else it is sent along once.
+    """
+    spark = df.sparkSession
+    root = Path(__file__).resolve().parents[2]
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED and not any(p and (Path(p) / "netloom").exists() for p in found):
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-netloom-"), "netloom"), "zip", root, "netloom")
+        spark.sparkContext.addPyFile(made)
+    _SHIPPED.add(app)
+    return df.mapInArrow(fn, schema)
+
+
 def map_rows(df: DataFrame, inputs: dict[str, str], outputs: str,
              make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """``df`` plus the columns of ``outputs`` (a DDL list), computed row by row in Arrow batches.
@@ -60,7 +83,7 @@ def map_rows(df: DataFrame, inputs: dict[str, str], outputs: str,
                 yield pa.RecordBatch.from_arrays([*part.columns[:passed], *made],
                                                  names=[*part.schema.names[:passed], *names])
 
-    return source.mapInArrow(run, T.StructType([*rest.schema.fields, *added.fields]))
+    return arrow_map(source, run, T.StructType([*rest.schema.fields, *added.fields]))
 
 
 def slices(batch: pa.RecordBatch, first: int, n_args: int, most: int = 8 << 20) -> Iterator[tuple[int, int]]:

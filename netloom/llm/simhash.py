@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.components import star_roots
-from netloom.llm.shared import cut, map_rows
+from netloom.llm.shared import arrow_map, cut, map_rows
 
 BITS = 64
 #: Rows of one bucket chunk.
@@ -109,7 +109,7 @@ def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(j, -1)),
                                           pa.array(np.append(total.ravel(), seen).astype(np.int64))], names=["i", "j", "n"])
 
-    rows = fps.mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    rows = arrow_map(fps, run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     both, n = np.zeros((BITS, BITS)), 0
     for r in rows:  # 64 * 64 + 1 rows at any size
         if r.i < 0:
@@ -256,7 +256,7 @@ def links(fps: DataFrame, plan: Layout, most: int) -> DataFrame:
         if held:
             yield from done(held, np.array([0, len(held[0])]))
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return arrow_map(dealt, run, "u long, v long")
 
 
 def components(fp_rows: DataFrame, most: int, key: str = "doc_id", fp: str = "fingerprint",

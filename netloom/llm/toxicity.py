@@ -1,15 +1,14 @@
 """Toxicity by a learned lexicon, matched with misspellings and read in context.
 
-``train`` learns from labelled documents which words mark toxic texts, how often words within one edit of such a
-word do so as well, and how much quotation takes away.  ``score`` walks every whole text once:
+``train`` learns from labelled documents which words, and which beginnings of words, mark toxic texts, what a word one
+edit away from such a word is worth, and how the hits of a text add up.  ``score`` walks every whole text once:
 
-* a word is matched by intersecting a Levenshtein automaton with a trie of the lexicon (distance 0, or 1 for
-  words of five letters or more); two pieces of every term, one of which a single edit leaves alone, rule
-  most words out before;
-* each hit is read in a window of words: inside quotation marks or beside words of reporting it counts less, unless
-  someone is addressed;
-* the document's score is the chance that at least one hit is abuse (noisy or), on the base rate of documents
-  without a hit.
+* words are matched by intersecting a Levenshtein automaton with a trie of the lexicon (distance 0, or 1 for
+  terms of five letters or more; a stem ends its match anywhere behind it).  Two pieces of every term, one of
+  which a single edit leaves alone, rule most words out before;
+* each hit is read in a window of words: inside quotation marks or beside words of reporting it counts as
+  quotation, unless someone is addressed;
+* a logistic function of the hits as words, as stems and as quotation gives the score.
 
 Nothing but the text enters a score.  The model is fitted on at most ``sample`` labelled documents, chosen by a hash
 of their number; everything else covers all rows.
@@ -22,6 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ from netloom.llm.shared import arrow_map, cut, map_rows
 SAMPLE = 20_000
 #: Words on either side of a hit that tell quotation from abuse.
 WINDOW = 6
+#: Letters of a stem; the word it begins is longer.
+STEM = range(4, 8)
 _WORD = re.compile(r"\w+")
 _QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|»[^«\n]{1,400}«")
 # Words that report speech or name a word, and words that address someone.
@@ -43,13 +45,17 @@ ADDRESS = frozenset("you your yours youre du dich dir dein ihr euch tu te toi vo
 
 @dataclass
 class Model:
-    """Chances that a hit marks a toxic text: by term, by known misspelling, by any other; and the base rate."""
+    """Chances that a hit marks a toxic text, by term, stem and misspelling, and weights of a text's features."""
 
     terms: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
     variants: dict[str, float] = field(default_factory=dict)
-    other: float = 0.0
-    quoted: float = 0.5
-    base: float = 0.0
+    other: float = 0.5
+    weights: tuple[float, ...] = (-3.0, 4.0, 2.0, 1.0)
+
+    def chance(self, features) -> float:
+        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], features))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
 # ------------------------------------------------------------------------------ matching
@@ -100,57 +106,70 @@ class Lexicon:
 
 
 class Matcher:
-    """Chance of a word; remembers words that are no hits."""
+    """Kind and chance of a word; remembers what it has looked up, up to a bound."""
+
+    MOST = 500_000
 
     def __init__(self, model: Model):
         self.model, self.lexicon = model, Lexicon(model.terms)
         self.plain: set[str] = set()
-        self.known = {**model.variants, **model.terms}
-
-    def hits(self, words: set[str]) -> dict[str, float]:
+        self.known: dict[str, tuple[str, float]] = {}
+
+    def look_up(self, w: str) -> tuple[str, float] | None:
+        m = self.model
+        if w in m.terms:
+            return "term", m.terms[w]
+        stems = [m.stems[w[:n]] for n in STEM if len(w) > n and w[:n] in m.stems]
+        if stems:
+            return "stem", max(stems)
+        if self.lexicon.may_match(w) and self.lexicon.near(w):
+            return "near", m.variants.get(w, m.other)
+        return None
+
+    def hits(self, words: set[str]) -> dict[str, tuple[str, float]]:
         found = {}
         for w in words - self.plain:
-            p = self.known.get(w)
-            if p is None:
-                p = self.model.other if self.lexicon.may_match(w) and self.lexicon.near(w) else 0.0
-                if p:
-                    if len(self.known) < 1_000_000:  # memory only: later words are matched again
-                        self.known[w] = p
-            if p:
-                found[w] = p
+            hit = self.known.get(w) or self.look_up(w)
+            if len(self.plain) + len(self.known) > self.MOST:  # memory only: words are looked up again
+                self.plain.clear()
+                self.known.clear()
+            if hit:
+                self.known[w] = found[w] = hit
             else:
-                if len(self.plain) > 1_000_000:
-                    self.plain.clear()
                 self.plain.add(w)
         return found
 
-    def read(self, text: str | None) -> list[tuple[str, float, bool]]:
-        """(word, chance, whether it is quoted) of every hit in the text."""
-        if not text:
-            return []
-        low = text.lower()
-        found = self.hits(set(_WORD.findall(low)))
+    def read(self, text: str | None) -> tuple[tuple[float, float, float], list[str], int]:
+        """Features, words hit in order of appearance, and how many hits are quotation."""
+        found = self.hits(set(_WORD.findall(low))) if text and (low := text.lower()) else {}
         if not found:
-            return []
+            return (0.0, 0.0, 0.0), [], 0
         spans = [m.span() for m in _QUOTED.finditer(low)]
         words = list(_WORD.finditer(low))
-        out, q = [], 0
+        chances: dict[str, tuple[float, float]] = {}
+        q = n_quoted = 0
         for i, m in enumerate(words):
-            p = found.get(m[0])
-            if p is None:
+            hit = found.get(m[0])
+            if hit is None:
                 continue
             while q < len(spans) and spans[q][1] <= m.start():
                 q += 1
             around = {x[0] for x in words[max(0, i - WINDOW):i + WINDOW + 1]}
             quoted = (q < len(spans) and spans[q][0] <= m.start() or bool(around & REPORTING)) and not around & ADDRESS
-            out.append((m[0], p, quoted))
-        return out
+            n_quoted += quoted
+            said, meant = chances.get(m[0], (0.0, 0.0))
+            chances[m[0]] = (max(said, hit[1]), meant) if quoted else (said, max(meant, hit[1]))
+        total = {"term": 0.0, "stem": 0.0, "quoted": 0.0}
+        for w, (said, meant) in chances.items():
+            total["stem" if found[w][0] == "stem" else "term"] += meant
+            total["quoted"] += said if not meant else 0.0
+        return tuple(math.log1p(x) for x in total.values()), list(chances), n_quoted
 
 
 # ------------------------------------------------------------------------------ training
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """toxic, words (distinct) of each text, one row per group of near copies.
+    """toxic, text: one row per group of near copies.
 
     Copies would make every rare word of one text look like a sign of its label.  Texts whose smallest shingle
     hash is the same are nearly always copies.
@@ -159,23 +178,39 @@ def _spread(rows: DataFrame) -> DataFrame:
         import xxhash
 
         for b in batches:
-            out = []
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = _WORD.findall(text.lower()) if text else []
-                if w:
-                    grams = (" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
-                    out.append((min(xxhash.xxh64_intdigest(g) for g in grams) >> 1, toxic, sorted(set(w))))
-            if out:
-                k, t, w = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(t, pa.int32()), pa.array(w, pa.list_(pa.string()))],
-                                                 names=["sketch", "toxic", "words"])
+            texts = b.column(0).to_pylist()
+            sketch = []
+            for text in texts:
+                w = text.lower().split() if text else []
+                grams = (" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
+                sketch.append(min(xxhash.xxh64_intdigest(g) for g in grams) >> 1)
+            yield pa.RecordBatch.from_arrays([pa.array(sketch, pa.int64()), b.column(1), b.column(0)], names=["sketch", "toxic", "text"])
+
+    return (arrow_map(rows, run, "sketch long, toxic int, text string")
+            .groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"))
+
 
-    return (arrow_map(rows, run, "sketch long, toxic int, words array<string>")
-            .groupBy("sketch", "toxic").agg(F.min("words").alias("words")).select("toxic", "words"))
+def _signs(known: DataFrame) -> DataFrame:
+    """sign, stem (whether a word's beginning), k1, k0: toxic and other texts that have it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            toxic, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for at in range(0, len(texts), 64):
+                out = []
+                for t, text in zip(toxic[at:at + 64], texts[at:at + 64]):
+                    words = set(_WORD.findall(text.lower()))
+                    out += [(w, False, t) for w in words]
+                    out += [(p, True, t) for p in {w[:n] for w in words for n in STEM if len(w) > n}]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.bool_(), pa.int32()))],
+                                                     names=["sign", "stem", "toxic"])
+
+    return (arrow_map(known.where("text IS NOT NULL"), run, "sign string, stem boolean, toxic int").groupBy("sign", "stem")
+            .agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0")))
 
 
 def _gain(k1: int, k0: int, n1: int, n0: int) -> float:
-    """Log-likelihood ratio of a word's two document frequencies."""
+    """Log-likelihood ratio of a sign's two document frequencies."""
     p, out = (k1 + k0) / (n1 + n0), 0.0
     for k, n in ((k1, n1), (k0, n0)):
         for x, e in ((k, n * p), (n - k, n * (1 - p))):
@@ -183,11 +218,27 @@ def _gain(k1: int, k0: int, n1: int, n0: int) -> float:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, gain: float = 22.0, precision: float = 0.7) -> Model:
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, ...]:
+    """Weights (intercept first) of a ridge logistic regression, by Newton's method."""
+    a = np.column_stack((np.ones(len(x)), x))
+    keep = np.diag([1e-3, *[ridge] * x.shape[1]])
+    w = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + keep, a.T @ (y - p) - keep @ w)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    return tuple(float(v) for v in w)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, gain: float = 22.0, stem_gain: float = 30.0,
+          precision: float = 0.7, stem_precision: float = 0.4) -> Model:
     """A model from ``labels`` (doc_id, toxic 0 or 1; others are left out) and the texts of ``docs``.
 
-    A word is a term if its log-likelihood ratio is at least ``gain`` and at least ``precision`` of the documents
-    that have it are toxic.  Of a document labelled twice, the higher label counts.  Without labels the model is empty.
+    A word is a term if its log-likelihood ratio is at least ``gain`` and at least ``precision`` of the texts that have
+    it are toxic; a beginning of words is a stem likewise.  Of a document labelled twice, the higher label counts.
+    Without labels of both kinds nothing is a sign, and every text gets the same score.
     """
     chosen = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
@@ -197,53 +248,49 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, gain: float
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        return Model(base=n1 / max(1, n1 + n0))
-    words = cut(known.select("toxic", F.explode("words").alias("word")).groupBy("word")
-                .agg(F.sum("toxic").alias("k1"), F.sum(1 - F.col("toxic")).alias("k0")).where("k1 > 0"), "toxic_words")
-    # A term needs this many toxic documents even if no other has it; few words of a bounded sample do.
-    few = next((k for k in range(1, n1 + 1) if _gain(k, 0, n1, n0) >= gain), n1)
-    often = words.where((F.col("k1") >= few) & (F.col("k1") >= precision * (F.col("k1") + F.col("k0")))).collect()
-    terms = {r.word: (r.k1 + 0.5) / (r.k1 + r.k0 + 1) for r in often if _gain(r.k1, r.k0, n1, n0) >= gain}
-    lexicon = Lexicon(terms)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text: whether it has a term, and its words one edit from a term."""
-        memo: dict[str, bool] = {}
+        return Model(weights=(4.0 if n1 else -4.0, 0.0, 0.0, 0.0))
+    # Signs need this many toxic texts even if no other has them; in a bounded sample few do.
+    few = next((k for k in range(1, n1 + 1) if _gain(k, 0, n1, n0) >= min(gain, stem_gain)), n1)
+    share = F.when(F.col("stem"), stem_precision).otherwise(precision)
+    often = [r for r in _signs(known).where((F.col("k1") >= few) & (F.col("k1") >= share * (F.col("k1") + F.col("k0")))).collect()
+             if _gain(r.k1, r.k0, n1, n0) >= (stem_gain if r.stem else gain)]
+    worth = lambda r: (r.k1 + 0.5) / (r.k1 + r.k0 + 1)
+    model = Model({r.sign: worth(r) for r in often if not r.stem}, {r.sign: worth(r) for r in often if r.stem})
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def close_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words one edit from a term in texts without a term or stem."""
+        matcher = Matcher(shared.value)
         for b in batches:
             out = []
-            for toxic, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                exact = any(w in terms for w in ws)
-                close = []
-                for w in ws:
-                    if w not in terms and lexicon.may_match(w):
-                        if w not in memo:
-                            memo[w] = lexicon.near(w) is not None
-                        if memo[w]:
-                            close.append(w)
-                out.append((toxic, exact, close))
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = matcher.hits(set(_WORD.findall(text.lower()))) if text else {}
+                if found and all(kind == "near" for kind, _ in found.values()):
+                    out += [(toxic, w) for w in found]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.bool_(), pa.list_(pa.string())))],
-                                                 names=["toxic", "exact", "close"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.string()))], names=["toxic", "w"])
 
-    seen = cut(arrow_map(known, read, "toxic int, exact boolean, close array<string>"), "toxic_hits")
-    plain = seen.where("NOT exact")
-    kinds = {(r.hit, r.toxic): r.n for r in plain.groupBy((F.size("close") > 0).alias("hit"), "toxic").agg(F.count("*").alias("n")).collect()}
-    # What a misspelling is worth shows in documents without a term; the prior holds one doubtful document of each kind.
-    other = (kinds.get((True, 1), 0) + 1) / (kinds.get((True, 1), 0) + kinds.get((True, 0), 0) + 2)
-    own = plain.select("toxic", F.explode("close").alias("w")).groupBy("w").agg(F.sum("toxic").alias("k1"), F.count("*").alias("n")).collect()
-    variants = {r.w: (r.k1 + 2 * other) / (r.n + 2) for r in own}
-    base = (kinds.get((False, 1), 0) + 0.1) / (kinds.get((False, 1), 0) + kinds.get((False, 0), 0) + 1)
-    return Model(terms, variants, other, 0.5, base)
+    own = arrow_map(known, close_words, "toxic int, w string").groupBy("w").agg(F.sum("toxic").alias("k1"), F.count("*").alias("n")).collect()
+    # A misspelling not seen before is worth what those seen once are, between which and certainty nothing decides yet.
+    once = [r for r in own if r.n == 1]
+    model.other = (sum(r.k1 for r in once) + 1.0) / (len(once) + 2.0)
+    model.variants = {r.w: (r.k1 + model.other) / (r.n + 1) for r in own}
+    seen = score(known, model, out="f").select("toxic", "f.features").collect()
+    # Doubtful rows of each label for each feature keep weights sane where the sample has no such case.
+    x = np.array([r.features for r in seen] + [[0.7, 0, 0], [0, 0.7, 0]])
+    y = np.array([r.toxic for r in seen] + [1, 1], float)
+    model.weights = _fit(x, y)
+    return model
 
 
 # ------------------------------------------------------------------------------- scoring
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
-    """``docs`` plus ``out``: struct of score (0 to 1), hits (the words found, each once, in order) and quoted (hits read
-    as quotation).
+    """``docs`` plus ``out``: struct of score (0 to 1), hits (the words found, each once, in order), quoted (hits read
+    as quotation) and the features.
 
-    Null and empty texts get the base rate and no hits.  Repeated rows are scored each; a column called ``out`` is
-    replaced.  One pass over whole texts, no shuffle.
+    Null and empty texts get the score of a text without hits.  Repeated rows are scored each; a column called ``out``
+    is replaced.  One pass over whole texts, no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -252,16 +299,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
         matcher = Matcher(m)
 
         def one(t):
-            rest, quoted, names = 1 - m.base, 0, {}
-            for w, p, q in matcher.read(t):
-                rest *= 1 - p * (m.quoted if q else 1)
-                quoted += q
-                names[w] = None
-            return ({"score": min(1.0, max(0.0, 1 - rest)), "hits": list(names), "quoted": quoted},)
+            features, names, quoted = matcher.read(t)
+            return ({"score": m.chance(features), "hits": names, "quoted": quoted, "features": features},)
 
         return one
 
-    return map_rows(docs, {"t": text}, f"`{out}` struct<score:double,hits:array<string>,quoted:int>", make)
+    return map_rows(docs, {"t": text}, f"`{out}` struct<score:double,hits:array<string>,quoted:int,features:array<double>>", make)
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, reject: float = 0.3) -> DataFrame:

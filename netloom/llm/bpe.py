@@ -15,10 +15,12 @@ import base64
 import functools
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.shared import map_rows
+from netloom.llm.shared import map_columns
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts above this many characters are cut at safe boundaries.
@@ -55,22 +57,22 @@ def pieces(text: str, most: int = PIECE):
     yield text[start:]
 
 
-def encode_text(enc, text: str | None) -> list[int]:
+def encode_text(enc, text: str | None) -> np.ndarray:
     """Ids of a whole text (null: none)."""
     if not text:
-        return []
-    if len(text) <= PIECE and len(text) < RUN:
-        return enc.encode_ordinary(text)
-    ids: list[int] = []
+        return np.zeros(0, np.uint32)
+    if len(text) < RUN:
+        return enc.encode_to_numpy(text, disallowed_special=())
+    ids = []
     for piece in pieces(text):
         at = 0
-        for m in _LONG_RUN.finditer(piece) if len(piece) >= RUN else ():
+        for m in _LONG_RUN.finditer(piece):
             end = m.end() - (m.end() < len(piece))  # the last one belongs to what follows
-            ids += enc.encode_ordinary(piece[at:m.start()])
-            ids += enc._encode_single_piece(piece[m.start():end])
+            ids.append(enc.encode_to_numpy(piece[at:m.start()], disallowed_special=()))
+            ids.append(np.array(enc._encode_single_piece(piece[m.start():end]), np.uint32))
             at = end
-        ids += enc.encode_ordinary(piece[at:])
-    return ids
+        ids.append(enc.encode_to_numpy(piece[at:], disallowed_special=()))
+    return np.concatenate(ids)
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -82,9 +84,15 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: str
 
     def make():
         enc = encoding(ranks, pattern)
-        return lambda t: (encode_text(enc, t),)
 
-    return map_rows(df, {"t": text}, f"`{ids}` array<int>", make)
+        def columns(texts: pa.Array) -> list[pa.Array]:
+            rows = [encode_text(enc, t) for t in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)))]
+
+        return columns
+
+    return map_columns(df, {"t": text}, f"`{ids}` array<int>", make)
 
 
 def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -93,9 +101,15 @@ def decode(df: DataFrame, ranks: str, pattern: str, ids: str = "ids", out: str =
 
     def make():
         enc = encoding(ranks, pattern)
-        return lambda i: (enc.decode_bytes(i) if i else b"",)
 
-    return map_rows(df, {"i": ids}, f"`{out}` binary", make)
+        def columns(lists: pa.Array) -> list[pa.Array]:
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            given = lists.is_valid().to_pylist()
+            return [pa.array([enc.decode_bytes(flat[a:b].tolist()) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], given)], pa.binary())]
+
+        return columns
+
+    return map_columns(df, {"i": ids}, f"`{out}` binary", make)
 
 
 def token_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

@@ -37,6 +37,8 @@ def without(df: DataFrame, names) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch: whole texts are large, and a worker holds a batch and what is made of it.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
@@ -52,6 +54,8 @@ def arrow_map(df: DataFrame, fn: Callable, schema) -> DataFrame:
         made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-netloom-"), "netloom"), "zip", root, "netloom")
         spark.sparkContext.addPyFile(made)
     _SHIPPED.add(app)
+    if spark.conf.get(BATCH_BYTES) != str(BATCH):
+        spark.conf.set(BATCH_BYTES, str(BATCH))
     return df.mapInArrow(fn, schema)
 
 
@@ -63,30 +67,42 @@ def map_rows(df: DataFrame, inputs: dict[str, str], outputs: str,
     function, which takes the arguments and gives one tuple.  Columns of ``df`` that carry an output's
     name are replaced, all others pass through.  No shuffle; memory is one Arrow batch.
     """
+    kinds = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(outputs)]
+
+    def make_columns():
+        fn = make()
+
+        def columns(*args):
+            rows = [fn(*r) for r in zip(*(a.to_pylist() for a in args))]
+            return [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+
+        return columns
+
+    return map_columns(df, inputs, outputs, make_columns)
+
+
+def map_columns(df: DataFrame, inputs: dict[str, str], outputs: str,
+                make: Callable[[], Callable[..., list]]) -> DataFrame:
+    """As ``map_rows``, but the function takes and gives Arrow arrays, for a few rows of a batch at a time."""
     added = T._parse_datatype_string(outputs)
     names, args = added.fieldNames(), list(inputs)
     rest = without(df, names)
     source = df.select(*[F.col(f"`{c}`") for c in rest.columns],
                        *[F.col(f"`{inputs[a]}`").alias(f"__arg_{i}") for i, a in enumerate(args)])
-    kinds = [to_arrow_type(f.dataType) for f in added]
     passed = len(rest.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            if not batch.num_rows:
-                continue
             for at, n in slices(batch, passed, len(args)):
                 part = batch.slice(at, n)
-                rows = [fn(*r) for r in zip(*(part.column(passed + i).to_pylist() for i in range(len(args))))]
-                made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:passed], *made],
+                yield pa.RecordBatch.from_arrays([*part.columns[:passed], *fn(*part.columns[passed:])],
                                                  names=[*part.schema.names[:passed], *names])
 
     return arrow_map(source, run, T.StructType([*rest.schema.fields, *added.fields]))
 
 
-def slices(batch: pa.RecordBatch, first: int, n_args: int, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(batch: pa.RecordBatch, first: int, n_args: int, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch holding some ``most`` bytes of arguments each (at least one row)."""
     size = sum(batch.column(first + i).nbytes for i in range(n_args))
     step = max(1, batch.num_rows * most // max(size, 1))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netloom.llm import bpe, chat, htmltext, langid, quality, secrets, simhash, tiling, toxicity, warc
+from netloom.llm import bpe, chat, htmltext, langid, quality, secrets, simhash, sql, tiling, toxicity, warc
 from netloom.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,13 +68,13 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read(spark, sf_dir, "documents"))
 
 
-@query("op2_warc")
+@query("op2_warc", sql.WARC)
 def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive, normalised, and read back."""
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-@query("op3_preferences")
+@query("op3_preferences", sql.PREFERENCES)
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and paired completions of every conversation against its neighbour's last reply."""
     return chat.preference_rows(read(spark, sf_dir, "conversations"))
@@ -89,7 +89,7 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-@query("op5_quality")
+@query("op5_quality", sql.QUALITY)
 def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality.report(read(spark, sf_dir, "documents"))

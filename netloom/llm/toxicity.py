@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from netloom.llm.shared import arrow_map, cut, map_rows
 
 #: Labelled documents the model is fitted on, at most.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Words on either side of a hit that tell quotation from abuse.
 WINDOW = 6
 #: Letters of a stem; the word it begins is longer.
@@ -65,8 +65,9 @@ class Lexicon:
 
     def __init__(self, terms):
         self.trie: dict = {}
-        self.heads: dict[int, set[str]] = {}
-        self.tails: dict[int, set[str]] = {}
+        # First and second halves of terms, each with the lengths that a word so begun or ended can have.
+        self.heads: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}
         for t in terms:
             node = self.trie
             for ch in t:
@@ -74,13 +75,15 @@ class Lexicon:
             node[""] = t
             if len(t) >= 5:
                 h = len(t) // 2
-                self.heads.setdefault(h, set()).add(t[:h])
-                self.tails.setdefault(len(t) - h, set()).add(t[h:])
+                self.heads.setdefault(t[:h], set()).update((len(t) - 1, len(t), len(t) + 1))
+                self.tails.setdefault(t[h:], set()).update((len(t) - 1, len(t), len(t) + 1))
+        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
 
     def may_match(self, word: str) -> bool:
         """Whether a term's first or second half stands at the word's start or end, as one edit must leave it."""
-        return (len(word) >= 4 and (any(word[:n] in s for n, s in self.heads.items())
-                                    or any(word[-n:] in s for n, s in self.tails.items())))
+        size = len(word)
+        return (any(size in self.heads.get(word[:n], ()) for n in self.head_sizes)
+                or any(size in self.tails.get(word[-n:], ()) for n in self.tail_sizes))
 
     def near(self, word: str) -> str | None:
         """The first term in alphabetical order that is one edit away.
@@ -109,6 +112,14 @@ class Matcher:
     """Kind and chance of a word; remembers what it has looked up, up to a bound."""
 
     MOST = 500_000
+    _last: tuple[Model, "Matcher"] | None = None
+
+    @classmethod
+    def of(cls, model: Model) -> "Matcher":
+        """The worker's matcher for a broadcast model; it serves one task after another."""
+        if cls._last is None or cls._last[0] is not model:
+            cls._last = (model, cls(model))
+        return cls._last[1]
 
     def __init__(self, model: Model):
         self.model, self.lexicon = model, Lexicon(model.terms)
@@ -168,26 +179,36 @@ class Matcher:
 
 # ------------------------------------------------------------------------------ training
 
+#: Odd factors that turn a shingle's hash into the ranks of independent sketches.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
 def _spread(rows: DataFrame) -> DataFrame:
-    """toxic, text: one row per group of near copies.
+    """toxic, text: few rows of each group of near copies, mostly one.
 
-    Copies would make every rare word of one text look like a sign of its label.  Texts whose smallest shingle
-    hash is the same are nearly always copies.
+    Copies would make every rare word of one text look like a sign of its label.  A sketch is the smallest rank of a
+    text's five-word shingles; near copies share most of their sketches, other texts hardly any, and of texts
+    that share one only one stays.
     """
+    names = [f"s{i}" for i in range(len(_FACTORS))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            texts = b.column(0).to_pylist()
-            sketch = []
-            for text in texts:
+            found = []
+            for text in b.column(0).to_pylist():
                 w = text.lower().split() if text else []
-                grams = (" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
-                sketch.append(min(xxhash.xxh64_intdigest(g) for g in grams) >> 1)
-            yield pa.RecordBatch.from_arrays([pa.array(sketch, pa.int64()), b.column(1), b.column(0)], names=["sketch", "toxic", "text"])
+                grams = [" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))]
+                h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
+                found.append((np.multiply.outer(_FACTORS, h).min(axis=1) >> np.uint64(1)).astype(np.int64))
+            if found:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, np.array(found).T.copy()), b.column(1), b.column(0)], names=[*names, "toxic", "text"])
 
-    return (arrow_map(rows, run, "sketch long, toxic int, text string")
-            .groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"))
+    out = arrow_map(rows, run, ", ".join(f"{n} long" for n in names) + ", toxic int, text string")
+    for n in names:
+        out = out.groupBy(n, "toxic").agg(F.min(F.struct("text", *names)).alias("x")).select("toxic", "x.*")
+    return out.select("toxic", "text")
 
 
 def _signs(known: DataFrame) -> DataFrame:
@@ -260,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, gain: float
 
     def close_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words one edit from a term in texts without a term or stem."""
-        matcher = Matcher(shared.value)
+        matcher = Matcher.of(shared.value)
         for b in batches:
             out = []
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -296,7 +317,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
 
     def make():
         m = shared.value
-        matcher = Matcher(m)
+        matcher = Matcher.of(m)
 
         def one(t):
             features, names, quoted = matcher.read(t)

@@ -57,7 +57,7 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint over three-word shingles and component within three bits of every document."""
-    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, most=3)
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, most=3, checks=0, repeats=True)
     digits = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 

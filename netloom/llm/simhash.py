@@ -12,6 +12,9 @@
    whole bucket.  A group gives only the links that join its members (a spanning forest), never all pairs.
 4. ``components``: the links' connected components.
 
+Texts that share much common matter can come within k bits by chance if k is large.  ``near_duplicates`` may therefore
+take further 64-bit SimHashes of the same shingles under other hashes, which a link must pass as well.
+
 Equal fingerprints collapse before the search, so a group of exact copies costs one row.
 """
 
@@ -35,42 +38,67 @@ BITS = 64
 CHUNK = 2048
 #: Cost of checking a candidate against that of shuffling a row.
 CHECK_COST = 0.01
+#: Odd factors of the check fingerprints' hashes.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
 # ------------------------------------------------------------------------- fingerprints
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Unsigned SimHash of the text's shingles of ``words`` words (fewer words: the whole sequence; none: 0)."""
+def _majority(h: np.ndarray) -> int:
+    """Unsigned number of the bits set in over half of ``h``."""
+    n, b = len(h), np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
+    if n < 256:
+        ones = np.unpackbits(b, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    else:
+        ones = np.concatenate([np.bincount(b[:, i], minlength=256) @ _BYTE for i in range(8)])
+    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+
+
+def _hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of a text's shingles of ``words`` words (fewer words: the whole sequence; none: no hash)."""
     import xxhash
 
     w = text.encode().lower().split() if text else []  # bytes: only A-Z change and only ASCII white space splits
     if not w:
-        return 0
-    n = max(1, len(w) - words + 1)
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(42)), np.uint64, n).view(np.uint8).reshape(n, 8)
-    if n < 256:
-        ones = np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        ones = np.concatenate([np.bincount(h[:, i], minlength=256) @ _BYTE for i in range(8)])
-    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(42)), np.uint64, max(1, len(w) - words + 1))
 
 
-def fingerprints(df: DataFrame, words: int = 5, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``df`` plus ``out`` long: the 64 bits of the text's SimHash, read as a signed number.
+def fingerprint(text: str | None, words: int, checks: int = 0, repeats: bool = True) -> list[int]:
+    """Unsigned SimHashes of a text: its fingerprint and ``checks`` more under other hashes; all 0 without a word.
 
-    Null and empty texts and texts without a word get 0.  A column called ``out`` is replaced.
+    With ``repeats`` a shingle counts each time it stands in the text, else once.
+    """
+    h = _hashes(text, words)
+    if not repeats:
+        h = np.unique(h)
+    if not len(h):
+        return [0] * (1 + checks)
+    out = [_majority(h)]
+    for factor in _FACTORS[:checks]:
+        x = h * factor
+        out.append(_majority((x ^ (x >> np.uint64(32))) * factor))
+    return out
+
+
+def fingerprints(df: DataFrame, words: int = 5, text: str = "text", out: str = "fingerprint", checks: int = 0,
+                 repeats: bool = True) -> DataFrame:
+    """``df`` plus ``out`` long: the 64 bits of the text's SimHash, read as a signed number; and, if asked for, that many
+    check fingerprints in columns ``out``_1, ...
+
+    Null and empty texts and texts without a word get 0.  Columns with these names are replaced.
     """
 
     def make():
-        def one(t):
-            f = fingerprint(t, words)
-            return (f - (1 << 64) if f >> 63 else f,)
+        return lambda t: tuple(f - (1 << 64) if f >> 63 else f for f in fingerprint(t, words, checks, repeats))
 
-        return one
+    return map_rows(df, {"t": text}, ", ".join(f"`{n}` bigint" for n in [out, *check_names(out, checks)]), make)
 
-    return map_rows(df, {"t": text}, f"`{out}` bigint", make)
+
+def check_names(fp: str, checks: int) -> list[str]:
+    return [f"{fp}_{i + 1}" for i in range(checks)]
 
 
 # ------------------------------------------------------------------------------- layout
@@ -175,15 +203,16 @@ def layout(n: int, both: np.ndarray, most: int) -> Layout:
 
 # -------------------------------------------------------------------------------- links
 
-def _forest(fp: np.ndarray, home: np.ndarray, side: np.ndarray, most: int):
+def _forest(v: np.ndarray, fp: np.ndarray, checks: list[np.ndarray], home: np.ndarray, side: np.ndarray, most: int, most_checks: int):
     """Links that join what a group's links join.  ``side`` 0: home rows that ask, 1: rows that answer."""
-    asks = np.unique(fp[(side == 0) & home])
-    answers = np.unique(fp[side == 1])
+    asks, answers = np.unique(v[(side == 0) & home]), np.unique(v[side == 1])
     if not len(asks) or not len(answers):
         return
-    every = np.union1d(asks, answers)
-    root = np.arange(len(every))
+    every, first = np.unique(v, return_index=True)
     where_a, where_b = np.searchsorted(every, asks), np.searchsorted(every, answers)
+    bits, more = fp[first].view(np.uint64), [c[first].view(np.uint64) for c in checks]
+    other, others = bits[where_b], [m[where_b] for m in more]
+    root = np.arange(len(every))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -191,38 +220,42 @@ def _forest(fp: np.ndarray, home: np.ndarray, side: np.ndarray, most: int):
             x = root[x]
         return x
 
-    bits = answers.view(np.uint64)
-    for a, ia in zip(asks, where_a):
-        close = np.nonzero(np.bitwise_count(bits ^ np.uint64(int(a) & (2 ** 64 - 1))) <= most)[0]
+    for ia in where_a:
+        close = np.nonzero(np.bitwise_count(other ^ bits[ia]) <= most)[0]
+        if more and len(close) > 1:
+            away = sum(np.bitwise_count(o[close] ^ m[ia]).astype(np.int64) for o, m in zip(others, more))
+            close = close[away <= most_checks]
         mine = find(ia)
         for ib in where_b[close]:
-            other = find(ib)
-            if other != mine:
-                lo, hi = min(mine, other), max(mine, other)
+            theirs = find(ib)
+            if theirs != mine:
+                lo, hi = min(mine, theirs), max(mine, theirs)
                 root[hi] = lo
                 mine = lo
-                yield int(a), int(every[ib])
+                yield int(every[ia]), int(every[ib])
 
 
-def links(fps: DataFrame, plan: Layout, most: int) -> DataFrame:
-    """(u, v): links within ``most`` bits that join the same fingerprints as all such links do.
+def links(fps: DataFrame, plan: Layout, most: int, checks: list[str] = [], most_checks: int = 0) -> DataFrame:
+    """(u, v): links within ``most`` bits that join the same vertices as all such links do.
 
-    ``fps``: one row per fingerprint, column ``fp`` long.
+    ``fps``: one row per vertex, columns ``v`` (its number) and ``fp`` long.  With ``checks``, columns of check
+    fingerprints, a link must also differ in ``most_checks`` of their bits at most, together.
     """
+    own = ["v", "fp", *checks]
     sides = [F.struct(F.lit(i).alias("part"), F.lit(m).alias("mask"),
                       F.array(F.lit(0), *map(F.lit, probes)).cast("array<bigint>").alias("flips"))
              for i, m, probes in plan.masks()]
-    rows = (fps.select("fp", F.explode(F.array(*sides)).alias("s"))
-            .select("fp", "s.part", F.col("fp").bitwiseAND(F.col("s.mask")).alias("own"), F.explode("s.flips").alias("flip"))
-            .select("fp", "part", F.col("own").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("home")))
+    rows = (fps.select(*own, F.explode(F.array(*sides)).alias("s"))
+            .select(*own, "s.part", F.col("fp").bitwiseAND(F.col("s.mask")).alias("value"), F.explode("s.flips").alias("flip"))
+            .select(*own, "part", F.col("value").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("home")))
     full = (rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.max("home").alias("asked"))
             .where("n > 1 AND asked").select("part", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("k")))
-    met = rows.join(full, ["part", "key"]).withColumn("c", F.pmod(F.xxhash64("fp"), "k").cast("int"))
+    met = rows.join(full, ["part", "key"]).withColumn("c", F.pmod(F.xxhash64("v"), "k").cast("int"))
     others = F.sequence(F.lit(0), F.col("k") - 1)
     ask = F.transform(others, lambda j: F.struct(F.col("c").alias("a"), j.alias("b"), F.lit(0).alias("side")))
     answer = F.transform(others, lambda j: F.struct(j.alias("a"), F.col("c").alias("b"), F.lit(1).alias("side")))
-    dealt = (met.select("part", "key", "fp", "home", F.explode(F.when(F.col("home"), F.concat(ask, answer)).otherwise(answer)).alias("g"))
-             .select("part", "key", "g.a", "g.b", "g.side", "fp", "home"))
+    dealt = (met.select("part", "key", *own, "home", F.explode(F.when(F.col("home"), F.concat(ask, answer)).otherwise(answer)).alias("g"))
+             .select("part", "key", "g.a", "g.b", "g.side", "home", *own))
     keys = ["part", "key", "a", "b"]
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -234,7 +267,8 @@ def links(fps: DataFrame, plan: Layout, most: int) -> DataFrame:
             out = []
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi - lo > 1:
-                    out += _forest(cols[4][lo:hi], cols[6][lo:hi], cols[5][lo:hi], most)
+                    side, home, v, fp, *more = (c[lo:hi] for c in cols[4:])
+                    out += _forest(v, fp, more, home, side, most, most_checks)
             if out:
                 u, v = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -243,7 +277,7 @@ def links(fps: DataFrame, plan: Layout, most: int) -> DataFrame:
             if not b.num_rows:
                 continue
             cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                    for c in (*keys, "fp", "side", "home")]
+                    for c in (*keys, "side", "home", *own)]
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             new = np.zeros(len(cols[0]), bool)
@@ -259,37 +293,48 @@ def links(fps: DataFrame, plan: Layout, most: int) -> DataFrame:
     return arrow_map(dealt, run, "u long, v long")
 
 
-def components(fp_rows: DataFrame, most: int, key: str = "doc_id", fp: str = "fingerprint",
-               out: str = "component_id") -> DataFrame:
-    """``fp_rows`` plus ``out``: the smallest ``key`` reachable over fingerprints that differ in ``most`` bits or fewer.
+def components(fp_rows: DataFrame, most: int, key: str = "doc_id", fp: str = "fingerprint", out: str = "component_id",
+               checks: int = 0, most_checks: int = 0) -> DataFrame:
+    """``fp_rows`` plus ``out``: the smallest ``key`` reachable over fingerprints that differ in ``most`` bits or fewer
+    (and in ``most_checks`` bits of their ``checks`` check fingerprints).
 
     Every row gets a component; equal fingerprints always share one; null keys count only if a component
     has no other.  ``fp_rows`` should be a stored table, as it is read several times.
     """
-    fps = cut(fp_rows.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("low")), "fingerprints")
+    more = check_names(fp, checks)
+    vertex = F.xxhash64(fp, *more) if checks else F.col(fp)
+    named = fp_rows.drop(out).withColumn("_v", vertex)
+    fps = cut(named.groupBy(F.col("_v").alias("v")).agg(F.min(fp).alias("fp"), *[F.min(c).alias(c) for c in more], F.min(key).alias("low")),
+              "fingerprints")
     n, both = bit_counts(fps.select("fp"))
-    roots = star_roots(links(fps.select("fp"), layout(n, both, most), most))
-    rooted = (fps.join(roots.select(F.col("u").alias("fp"), "root"), "fp", "left")
-              .select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("low").alias(out))
+    roots = star_roots(links(fps.drop("low"), layout(n, both, most), most, more, most_checks))
+    rooted = (fps.join(roots.select(F.col("u").alias("v"), "root"), "v", "left")
+              .select("v", "low", F.coalesce("root", "v").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias(out))
     # The table of fingerprints is narrow; a fingerprint shared by many rows is left to skew splitting.
-    wide = rooted.join(named, "root").select(F.col("fp").alias("_fp"), out)
-    return fp_rows.drop(out).join(wide, F.col(fp) == F.col("_fp")).drop("_fp")
+    wide = rooted.join(lowest, "root").select(F.col("v").alias("_v"), out)
+    return named.join(wide, "_v").drop("_v", *more)
+
+
+#: Check fingerprints, and the bits of them a link may differ in: texts with four fifths of their shingles in common
+#: differ in 19 of 128 bits on average, unrelated ones in over 50.
+CHECKS, MOST_CHECKS = 2, 28
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, most: int = 6, key: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """key, fingerprint, component_id of every row.  ``words`` and ``most`` default to five-word shingles and a
-    similarity of 58/64 = 0.9 of the bits.
+def near_duplicates(docs: DataFrame, words: int = 5, most: int = 8, key: str = "doc_id", text: str = "text",
+                    checks: int = CHECKS, most_checks: int = MOST_CHECKS, repeats: bool = False) -> DataFrame:
+    """key, fingerprint, component_id of every row.  Defaults: five-word shingles, each counted once, and a similarity of
+    56/64 of the bits, of which two check fingerprints must not fall short far.  (Were repeats counted, a line repeated
+    often would make all texts that have it alike.)
 
     Null and empty texts share fingerprint 0 and so one component.  Repeated rows keep their number.
     """
-    rows = cut(fingerprints(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")), words, "__text")
+    rows = cut(fingerprints(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")), words, "__text", checks=checks, repeats=repeats)
                .drop("__text"), "docs")
-    return components(rows, most, key)
+    return components(rows, most, key, checks=checks, most_checks=most_checks)
 
 
-def keep_first(docs: DataFrame, words: int = 5, most: int = 6) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = 5, most: int = 8) -> DataFrame:
     """``docs`` less all but one document of each group of near-duplicates: the one with the smallest doc_id.
 
     doc_id names a document: of rows that repeat one, a single row stays.  Rows without doc_id cannot be

@@ -84,8 +84,8 @@ def test_one_dense_bucket_gives_few_links(spark, monkeypatch):
     rng = random.Random(5)
     base = rng.getrandbits(62)
     fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)})
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    n, both = simhash.bit_counts(df)
+    df = spark.createDataFrame([(f, f) for f in fps], "v long, fp long")
+    n, both = simhash.bit_counts(df.select("fp"))
     assert n == len(fps) and both[0, 0] == sum(f & 1 for f in fps)
     found = simhash.links(df, simhash.layout(n, both, 3), 3).count()
     assert found < len(fps) * 60  # all pairs would be 95,000
@@ -117,5 +117,22 @@ def test_keep_first(spark):
 def test_repeated_and_null_keys_keep_their_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d", "z"), (1, "a b c d", "z"), (None, "a b c d", "z"), (7, None, "z")],
                                  "doc_id long, text string, component_id string")
-    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs, 3, 3).collect())
+    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs, 3, 3, checks=0, repeats=True).collect())
     assert got == [(0, 1), (1, 1), (1, 1), (7, 7)]
+
+
+def test_check_fingerprints_part_texts_that_agree_by_chance(spark):
+    a, b, c = 0b1111, 0b1110, 0b1100
+    rows = [(1, a, 0, 0), (2, b, 2 ** 40 - 1, 0), (3, c, 0, 1), (4, a, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint long, fingerprint_1 long, fingerprint_2 long")
+    got = {r.doc_id: r.component_id for r in simhash.components(df, 3, checks=2, most_checks=32).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1}
+    assert {r.component_id for r in simhash.components(df, 3).collect()} == {1}
+
+
+def test_a_repeated_line_does_not_make_texts_alike(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randint(0, 10 ** 6)}" for _ in range(200)) + " the same line again\n" * 200) for i in range(4)]
+    docs = spark.createDataFrame([(k, t, None, "s", 1) for k, t in rows], DOC)
+    assert simhash.keep_first(docs).count() == 4
+    assert len({r.component_id for r in simhash.near_duplicates(docs, repeats=True, checks=0).collect()}) < 4

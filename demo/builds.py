@@ -327,8 +327,8 @@ RUNS = """SELECT p_partkey AS run_id, p_partkey AS line_cd, p_partkey AS a, p_pa
 
 
 @query("order_violations", f"""
-, ex AS ({RUNS.format(part='part')}),
-o AS (SELECT line_cd, station_cd, row_number() OVER (PARTITION BY line_cd ORDER BY e_sort, station_cd) AS rn FROM stations WHERE e_status = 0)
+, ex AS MATERIALIZED ({RUNS.format(part='part')}),
+o AS MATERIALIZED (SELECT line_cd, station_cd, row_number() OVER (PARTITION BY line_cd ORDER BY e_sort, station_cd) AS rn FROM stations WHERE e_status = 0)
 SELECT ex.run_id, ex.line_cd, CASE WHEN oa.rn IS NULL THEN 'first station missing' ELSE 'stations are not consecutive' END AS problem
 FROM ex LEFT JOIN o oa ON oa.line_cd = ex.line_cd AND oa.station_cd = ex.a LEFT JOIN o ob ON ob.line_cd = ex.line_cd AND ob.station_cd = ex.b
 LEFT JOIN o oc ON oc.line_cd = ex.line_cd AND oc.station_cd = ex.c

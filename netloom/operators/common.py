@@ -36,10 +36,17 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def durable_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors; a local one only where the session names none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder shared by all executors: the session's spark.checkpoint.dir, else the context's checkpoint folder.
+
+    A session on one machine that names neither gets a local folder; on a cluster that would give every executor a
+    folder of its own, so there it is an error.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        return configured
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-netloom-")

@@ -7,14 +7,13 @@ keys), never in row order, so no global sort is forced on the caller.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.text import normalize_for_search
 from netloom.operators import common as C
 from netloom.schema import ALIAS_COLUMNS, BUS, RAIL, Network
 
-SEARCH_CAP = 10_000
 UNLIMITED = 2_147_483_647
 
 _LINE_EXTRA = (
@@ -568,9 +567,11 @@ def search_stations(net: Network, req: DataFrame) -> DataFrame:
     else:
         found = found.withColumns({"line_group_cd": F.lit(None).cast("bigint"),
                                    "has_train_types": F.lit(False)})
-    limit = F.col("limit") if "limit" in req.columns else F.lit(None)
-    limit = F.least(F.coalesce(limit, F.lit(UNLIMITED)), F.lit(SEARCH_CAP))
-    return C.top_by(found, ["req_id"], ["station_g_cd", "station_name", "station_cd"], limit, SEARCH_CAP)
+    w = Window.partitionBy("req_id").orderBy("station_g_cd", "station_name", "station_cd")
+    ranked = found.withColumn("rank", F.row_number().over(w))
+    if "limit" not in req.columns:
+        return ranked
+    return ranked.where(F.col("limit").isNull() | (F.col("rank") <= F.col("limit")))
 
 
 def reachable(net: Network, hits: DataFrame) -> DataFrame:
@@ -618,12 +619,11 @@ def search_lines(net: Network, req: DataFrame) -> DataFrame:
     pairs = substring_matches(by_field.where("value <> ''").select("field", "value").distinct(),
                               asked.select("needle", fields).distinct())
     hits = pairs.join(by_field, ["field", "value"]).select("needle", "line_cd").distinct()
-    found = asked.join(hits, "needle")
-    if "limit" not in req.columns:
-        found = C.first_by(found, ["req_id"], ["line_cd"]).withColumn("rank", F.lit(1).cast("bigint"))
-    else:
-        found = (C.number_in_group(found, ["req_id"], "line_cd", "rank")
-                 .where(F.col("rank") <= F.coalesce(F.col("limit"), F.lit(1))))
+    # Hits are ranked once for each needle; requests then take theirs by rank.
+    w = Window.partitionBy("needle").orderBy("line_cd")
+    ranked = hits.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    limit = F.coalesce(F.col("limit"), F.lit(1)) if "limit" in req.columns else F.lit(1)
+    found = asked.join(ranked, "needle").where(F.col("rank") <= limit)
     return found.unionByName(_blank_line_queries(lines, asked)).join(lines, "line_cd").drop("needle")
 
 

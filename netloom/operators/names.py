@@ -10,9 +10,6 @@ from netloom.functions import phonetics as P
 from netloom.functions.text import katakana_to_hiragana
 from netloom.operators import common as C
 
-AUDIT_TOP = 40
-AUDIT_EXAMPLES = 3
-
 # Common English words of station and line names. (fixed values)  A full dictionary is a
 # table (word, ipa) passed by the caller; it replaces this list.
 ENGLISH = {
@@ -148,9 +145,9 @@ def _left(left: DataFrame, right: DataFrame) -> DataFrame:
     return _null_safe(left, right, ["name_k", "name_r"], "left")
 
 
-def audit_pronunciation(names: DataFrame, dictionary: DataFrame, top: int = AUDIT_TOP) -> DataFrame:
-    """Words of romanised names that cannot be spoken: the ``top`` most frequent with their
-    count and the first three different names they occur in.
+def audit_pronunciation(names: DataFrame, dictionary: DataFrame, examples: int = 3) -> DataFrame:
+    """Every word of romanised names that cannot be spoken, with its count and the first ``examples`` different names
+    it occurs in; ranking is the caller's.
 
     ``names(ord, name_r)``; every occurrence counts.
     """
@@ -165,8 +162,7 @@ def audit_pronunciation(names: DataFrame, dictionary: DataFrame, top: int = AUDI
     silent = (parts.join(sounds, "norm").groupBy("token")
               .agg(F.bool_or(F.col("pronunciation").isNull()).alias("silent")).where("silent").select("token"))
     bad = C.materialize(counted.join(silent, "token", "left_semi"), "silent-words")
-    worst = bad.groupBy("token").agg(F.sum("n").alias("count")).orderBy(F.col("count").desc(), "token").limit(top)
-    worst = C.materialize(worst, "worst-words")
-    examples = C.first_n(bad.join(worst.select("token"), "token", "left_semi"), ["token"], [F.col("ord")], AUDIT_EXAMPLES)
-    shown = examples.join(trimmed, "ord").groupBy("token").agg(F.array_sort(F.collect_list("name_r")).alias("examples"))
-    return worst.join(shown, "token")
+    counts = bad.groupBy("token").agg(F.sum("n").alias("count"))
+    first = C.first_n(bad, ["token"], [F.col("ord")], examples)
+    shown = first.join(trimmed, "ord").groupBy("token").agg(F.array_sort(F.collect_list("name_r")).alias("examples"))
+    return counts.join(shown, "token")

@@ -19,7 +19,6 @@ from netloom.operators import common as C
 from netloom.operators import lookup as L
 from netloom.schema import BUS, RAIL, Network
 
-NEARBY_CAP = 1000
 BUS_STOP_RADIUS_M = 300.0
 BUS_CANDIDATES = 50
 LEVELS = [16, 14, 12, 10, 8, 6, 4]
@@ -128,7 +127,7 @@ def k_nearest(points: DataFrame, asks: DataFrame, cap: int) -> DataFrame:
 def stations_nearby(net: Network, req: DataFrame) -> DataFrame:
     """Nearest active stations whose line exists; rail before bus when unfiltered.
 
-    ``req(req_id, lat, lon, limit?, transport?)``; limit defaults to 1, at most 1000.
+    ``req(req_id, lat, lon, limit?, transport?)``; limit defaults to 1 and is honoured whatever it is.
     ``rank`` orders a request's rows, ``distance`` is in metres.
     """
     points = (L.active(net.stations).join(net.lines.select("line_cd"), "line_cd", "left_semi")
@@ -138,7 +137,7 @@ def stations_nearby(net: Network, req: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name), F.lit(default)) if name in req.columns else F.lit(default)
 
     spots = req.select("req_id", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"),
-                       F.least(given("limit", 1), F.lit(NEARBY_CAP)).cast("bigint").alias("want"),
+                       given("limit", 1).cast("bigint").alias("want"),
                        given("transport", "RailAndBus").alias("transport"))
     # Requests for one place and setting are answered once.
     keys = ["qlat", "qlon", "want", "transport"]
@@ -156,7 +155,8 @@ def stations_nearby(net: Network, req: DataFrame) -> DataFrame:
                                            .otherwise(F.array(rail_part, rest))))
             .select(*keys, "_part.*").where("k > 0")
             .withColumn("ask_id", F.struct(*keys, "kind", "base")))
-    found = k_nearest(points, asks.select("ask_id", "kind", "qlat", "qlon", "k"), NEARBY_CAP)
+    largest = spots.agg(F.max("want")).first()[0] or 1  # one number
+    found = k_nearest(points, asks.select("ask_id", "kind", "qlat", "qlon", "k"), int(largest))
     return (spots.join(found.select("ask_id.*", "point_id", "distance_km", "rank"), keys)
             .select("req_id", F.col("point_id").alias("station_cd"),
                     (F.col("rank") + F.col("base")).alias("rank"),

@@ -87,7 +87,8 @@ def virtual_local_services(net: Network) -> Network:
     added = rows.select("station_cd", "type_cd", "line_group_cd", "pass", F.lit(1).alias("_src"),
                         F.col("line_cd").alias("_a"), F.coalesce("e_sort", F.lit(0)).alias("_b"),
                         F.col("station_cd").alias("_c"))
-    return net.with_tables(station_station_types=renumber_sst(existing.unionByName(added), ["_src", "_a", "_b", "_c"]))
+    return net.with_tables(station_station_types=renumber_sst(existing.unionByName(added), ["_src", "_a", "_b", "_c"]),
+                           bounds=None)
 
 
 def renumber_sst(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -106,7 +107,7 @@ def routes_to_lines(routes: DataFrame, line_codes: DataFrame) -> DataFrame:
                     name.alias("line_name_h"), F.coalesce("route_long_name", F.lit("")).alias("line_name_r"),
                     color.alias("line_color_c"), F.col("route_type").alias("line_type"), F.lit(0).alias("e_status"),
                     F.col("line_cd").alias("e_sort"), F.lit(0.0).alias("average_distance"),
-                    F.lit(BUS).alias("transport_type")))
+                    F.lit(BUS).alias("transport_type"), "ord"))
 
 
 def stops_on_routes(stops: DataFrame, order: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def stops_to_stations(pairs: DataFrame, groups: DataFrame, line_codes: DataFrame
                     "line_cd", F.lit(BUS_PREFECTURE).alias("pref_cd"), F.lit("").alias("post"), F.lit("").alias("address"),
                     F.col("stop_lon").alias("lon"), F.col("stop_lat").alias("lat"), F.lit("").alias("open_ymd"),
                     F.lit("").alias("close_ymd"), F.lit(0).alias("e_status"), F.col("stop_order").alias("e_sort"),
-                    F.lit(BUS).alias("transport_type")))
+                    F.lit(BUS).alias("transport_type"), "ord"))
 
 
 def allocate_line_codes(routes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -154,10 +155,9 @@ def _code_table(pairs: DataFrame, key: str, expr, order: list[str], code_range,
 
 
 def _append(existing: DataFrame, added: DataFrame, table: str) -> DataFrame:
-    """Existing rows win over added ones with the same key."""
+    """Existing rows win over added ones with the same key; of those the first in source order."""
     key = {"lines": "line_cd", "stations": "station_cd", "types": "type_cd"}[table]
-    fresh = C.first_by(added, [key], [F.col(c) for c in added.columns if c != key][:3]).join(
-        existing.select(key), key, "left_anti")
+    fresh = C.first_by(added, [key], [F.col("ord")]).join(existing.select(key), key, "left_anti")
     typed = dict(COLUMNS[table])
     return existing.unionByName(fresh.select(*[F.col(c).cast(typed[c]) for c in fresh.columns if c in typed]),
                                 allowMissingColumns=True)

@@ -132,3 +132,16 @@ def test_update_and_merge(spark):
     t = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, None)], "k int, v double")
     out, changed = sinks.update_column(t, spark.createDataFrame([(1, 5.0), (3, 7.0), (9, 1.0)], "k int, v double"), "k", "v")
     assert sorted((r.k, r.v) for r in out.collect()) == [(1, 5.0), (2, 6.0), (3, 7.0)] and changed.first()[0] == 1
+
+
+def test_feeds_are_told_apart_and_files_are_optional(spark, tmp_path):
+    header = "route_id,agency_id,route_short_name,route_long_name,route_desc,route_type,route_url,route_color\n"
+    for folder, route in (("a/bus", "1"), ("bus", "2"), ("with space", "3")):
+        path = tmp_path / folder
+        path.mkdir(parents=True)
+        (path / "routes.txt").write_text(header + f"{route},,S{route},,,3,,\n")
+    feeds = {"x": str(tmp_path / "bus"), "y": str(tmp_path / "a/bus"), "z": str(tmp_path / "with space"), "gone": str(tmp_path / "none")}
+    got = gtfs.read_routes(spark, feeds).orderBy("ord").collect()
+    assert [(r.route_id, r.route_short_name) for r in got] == [("x:2", "S2"), ("y:1", "S1"), ("z:3", "S3")]
+    assert gtfs.read_translations(spark, feeds).count() == 0
+    assert gtfs.read_stops(spark, {"gone": feeds["gone"]}, None).count() == 0

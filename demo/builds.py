@@ -256,7 +256,14 @@ def routes_to_lines(spark, sf):
     return B.routes_to_lines(f.routes, given).select("line_cd", "company_cd", "line_name", "line_name_r", "line_color_c")
 
 
-@query("integrated_lines")
+@query("integrated_lines", FEED_SQL + ", added AS (SELECT " + FNV.format(t="route_id", span="10000000", base="100000000") + """ AS line_cd,
+  CASE WHEN route_id LIKE 'toei:%' THEN 119 WHEN route_id LIKE 'seibu:%' THEN 253 WHEN route_id LIKE 'keio:%' THEN 254 ELSE 255 END AS company_cd,
+  coalesce(route_short_name, route_long_name, '') AS line_name, coalesce(route_long_name, '') AS line_name_r,
+  coalesce(CASE WHEN route_color LIKE '#%' THEN route_color ELSE '#' || route_color END, '#1f63c6') AS line_color_c, route_type
+FROM g_routes WHERE route_id NOT LIKE 'other:%')
+SELECT * FROM lines UNION ALL BY NAME
+SELECT line_cd, company_cd, line_name, line_name AS line_name_k, line_name AS line_name_h, line_name_r, line_color_c, route_type AS line_type,
+       0 AS e_status, line_cd AS e_sort, 0.0::DOUBLE AS average_distance, 1 AS transport_type FROM added""")
 def integrated_lines(spark, sf):
     return B.integrate_feed(network(spark, sf), feed(spark, sf)).lines
 

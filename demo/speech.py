@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from demo.adapter import driver_table, source_sql
+from demo.adapter import driver_table, network, source_sql
 from demo.registry import query
 from netloom.functions import phonetics as P
+from netloom.operators import enrich as E
+from netloom.operators import lookup as L
 from netloom.operators import names as N
 
 PAIRS = """SELECT DISTINCT translate(substr(c_name, 10), '0123456789', 'カンコッシアキョウー') AS name_k,
@@ -40,6 +42,22 @@ def pronounced_lines(spark, sf):
     return N.pronounce_lines(source_sql(spark, sf, LINES, "customer"), N.english_words(spark))
 
 
+@query("spoken_stations")
+def spoken_stations(spark, sf):
+    """Public stations of the whole network with readings, spoken forms and the number of spoken parts."""
+    net = network(spark, sf)
+    wide = L.to_wide(net, L.active(net.stations), L.active_lines(net))
+    return N.speak(E.to_public_station(wide), N.english_words(spark)).select(
+        "id", "name_katakana", "name_roman", "name_ipa", "name_roman_ipa", F.coalesce(F.size("name_segments"), F.lit(0)).alias("n_segments"))
+
+
+@query("spoken_lines")
+def spoken_lines(spark, sf):
+    """Public lines with readings and spoken forms."""
+    return N.speak(E.to_public_line(network(spark, sf).lines), N.english_words(spark), lines=True).select(
+        "id", "name_katakana", "name_roman", "name_ipa", "name_roman_ipa")
+
+
 _TOK = "regexp_extract_all({t}, '[A-Za-z0-9''.ĀĪŪĒŌāīūēōÂÎÛÊÔâîûêô]+')"
 _NORM = "regexp_replace({t}, '\\.+$', '')"
 for _chars, _plain in P.LONG_VOWELS.items():

@@ -141,6 +141,26 @@ def pronounce_lines(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     return distinct.join(spoken, "name_r", "left")
 
 
+def speak(public: DataFrame, dictionary: DataFrame, lines: bool = False) -> DataFrame:
+    """Public stations or train types (``lines``: public lines) with name_ipa, name_roman_ipa and name_segments, the
+    parts of the romanised name in order: array<struct<token_no, part, surface, pronunciation, separator>>.
+
+    Names are pronounced once each, however many rows share one, and joined back on (name_katakana, name_roman).
+    """
+    names = public.select(F.col("name_katakana").alias("name_k"), F.col("name_roman").alias("name_r")).distinct()
+    spoken = (pronounce_lines if lines else pronounce_names)(names, dictionary)
+    asked = names.select(F.lit("").alias("name_k"), "name_r").distinct() if lines else names
+    parts = tts_segments(asked, dictionary)
+    fields = [c for c in ("token_no", "part", "surface", "pronunciation", "separator") if c in parts.columns]
+    listed = parts.groupBy("name_k", "name_r").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("name_segments"))
+    if lines:
+        whole = spoken.join(listed.drop("name_k"), spoken["name_r"].eqNullSafe(listed["name_r"]), "left").drop(listed["name_r"])
+    else:
+        whole = _left(spoken, listed)
+    whole = whole.select(F.col("name_k").alias("_k"), F.col("name_r").alias("_r"), "name_ipa", "name_roman_ipa", "name_segments")
+    return public.join(whole, public["name_katakana"].eqNullSafe(F.col("_k")) & public["name_roman"].eqNullSafe(F.col("_r")), "left").drop("_k", "_r")
+
+
 def _left(left: DataFrame, right: DataFrame) -> DataFrame:
     return _null_safe(left, right, ["name_k", "name_r"], "left")
 

@@ -235,16 +235,19 @@ def line_stations(spark, sf):
 
 # ------------------------------------------------------------------------ stations by pattern
 
-PATTERN_REQ = "SELECT s_suppkey AS req_id, 1000 + s_suppkey * 8 + 3 AS line_group_cd FROM {supplier}"
-PATTERNS_REQ = """SELECT s_suppkey AS req_id, array(1000 + s_suppkey * 8 + 2, 1000 + s_suppkey * 8 + 5) AS line_group_cds
+# A request for every pattern, and one for all patterns of each supplier.
+PATTERN_REQ = """SELECT 1000 + s_suppkey * 8 + k AS req_id, 1000 + s_suppkey * 8 + k AS line_group_cd
+  FROM {supplier} LATERAL VIEW explode(sequence(1, 7)) AS k"""
+PATTERN_SQL = """, pat AS (SELECT 1000 + s_suppkey * 8 + k AS req_id FROM supplier, (SELECT unnest(range(1, 8)) AS k))"""
+PATTERNS_REQ = """SELECT s_suppkey AS req_id, transform(sequence(1, 7), k -> 1000 + s_suppkey * 8 + k) AS line_group_cds
   FROM {supplier}"""
-PATTERNS_SQL = """, req AS (SELECT s_suppkey AS req_id, 0 AS ordinal, 1000 + s_suppkey * 8 + 2 AS lg FROM supplier
-  UNION ALL SELECT s_suppkey, 1, 1000 + s_suppkey * 8 + 5 FROM supplier)"""
+PATTERNS_SQL = """, req AS (SELECT s_suppkey AS req_id, CAST(k - 1 AS INTEGER) AS ordinal, 1000 + s_suppkey * 8 + k AS lg
+  FROM supplier, (SELECT unnest(range(1, 8)) AS k))"""
 
 
-@query("stations_by_line_group", """
-SELECT s.s_suppkey AS req_id, t.sst_id, t.station_cd, t.w_line_name AS line_name, t.kind, t.stop_condition
-FROM supplier s JOIN ts t ON t.line_group_cd = 1000 + s.s_suppkey * 8 + 3""")
+@query("stations_by_line_group", PATTERN_SQL + """
+SELECT s.req_id, t.sst_id, t.station_cd, t.w_line_name AS line_name, t.kind, t.stop_condition
+FROM pat s JOIN ts t ON t.line_group_cd = s.req_id""")
 def stations_by_line_group(spark, sf):
     return L.stations_by_line_group(network(spark, sf), source_sql(spark, sf, PATTERN_REQ, "supplier")).select(
         "req_id", "sst_id", "station_cd", "line_name", "kind", "stop_condition")
@@ -385,9 +388,9 @@ def types_by_station_in_group(spark, sf):
         "req_id", "ordinal", "sst_id", "type_cd", "priority")
 
 
-@query("train_types_by_line_group", """
-SELECT s.s_suppkey AS req_id, t.id AS sst_id, t.type_cd, y.kind FROM supplier s
-JOIN stops t ON t.line_group_cd = 1000 + s.s_suppkey * 8 + 3 JOIN types y ON y.type_cd = t.type_cd""")
+@query("train_types_by_line_group", PATTERN_SQL + """
+SELECT s.req_id, t.id AS sst_id, t.type_cd, y.kind FROM pat s
+JOIN stops t ON t.line_group_cd = s.req_id JOIN types y ON y.type_cd = t.type_cd""")
 def train_types_by_line_group(spark, sf):
     return L.train_types_by_line_group(network(spark, sf), source_sql(spark, sf, PATTERN_REQ, "supplier")).select(
         "req_id", "sst_id", "type_cd", "kind")

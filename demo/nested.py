@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from demo.adapter import network, source_sql
-from demo.lookups import GROUP_REQ, LINES_REQ, LINES_SQL, PATTERN_REQ, STATION_REQ, nz
+from demo.lookups import GROUP_REQ, LINES_REQ, LINES_SQL, PATTERN_REQ, PATTERN_SQL, STATION_REQ, nz
 from demo.registry import query
 from demo.spatial import HAV
 from netloom.operators import enrich as N
@@ -134,11 +134,11 @@ def enrich_group_stations(spark, sf):
         "line_name", joined(F.col("line_symbols"), "symbol", "color", "shape").alias("symbols"), *nz("line_station"))
 
 
-@query("enrich_pattern_stations", """
+@query("enrich_pattern_stations", PATTERN_SQL + """
 , tt AS (SELECT t.line_group_cd, t.station_cd, arg_min(t.id, y.priority * 1000000000 - t.id) AS tt_id FROM stops t JOIN types y ON y.type_cd = t.type_cd
   WHERE t.line_group_cd IS NOT NULL GROUP BY 1, 2)
-SELECT s.s_suppkey AS req_id, t.sst_id, t.station_cd, coalesce(c.company_name, '') AS company_name, coalesce(tt.tt_id, -1) AS tt_id
-FROM supplier s JOIN ts t ON t.line_group_cd = 1000 + s.s_suppkey * 8 + 3 LEFT JOIN companies c ON c.company_cd = t.company_cd
+SELECT s.req_id, t.sst_id, t.station_cd, coalesce(c.company_name, '') AS company_name, coalesce(tt.tt_id, -1) AS tt_id
+FROM pat s JOIN ts t ON t.line_group_cd = s.req_id LEFT JOIN companies c ON c.company_cd = t.company_cd
 LEFT JOIN tt ON tt.line_group_cd = t.line_group_cd AND tt.station_cd = t.station_cd""")
 def enrich_pattern_stations(spark, sf):
     net = network(spark, sf)

@@ -111,11 +111,16 @@ def learn(df: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     Rows with a null language or text are left out.  N-grams are counted per task and summed by Spark; a language's
     profile is a limited window, so ``most`` rows of each come to the driver.
     """
+    sizes = {r["l"]: r["n"] for r in df.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("l"))
+             .agg(F.count("*").alias("n")).collect()}  # one number a language, as are the profiles
+    # First by a share of the hashes, which needs no order and leaves about half more than is wanted; then exactly.
+    share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * sample / n)))]), F.col("lang")) \
+        if sizes else F.lit(0.0)
     named = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("h"), F.col(text).alias("text"))
-    # The row numbers are dealt on hashes alone; the group limit keeps ``sample`` of each language in every task.
+    few = named.where(F.col("h") / F.lit(2.0 ** 64) + 0.5 < share)
     order = Window.partitionBy("lang").orderBy("h", "text")
-    some = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "text")
+    some = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -132,7 +132,7 @@ def test_check_fingerprints_part_texts_that_agree_by_chance(spark):
 
 def test_a_repeated_line_does_not_make_texts_alike(spark):
     rng = random.Random(12)
-    rows = [(i, " ".join(f"w{rng.randint(0, 10 ** 6)}" for _ in range(200)) + " the same line again\n" * 200) for i in range(4)]
+    rows = [(i, " ".join(f"w{rng.randint(0, 10 ** 6)}" for _ in range(200)) + " the same line once again\n" * 200) for i in range(4)]
     docs = spark.createDataFrame([(k, t, None, "s", 1) for k, t in rows], DOC)
     assert simhash.keep_first(docs).count() == 4
     assert len({r.component_id for r in simhash.near_duplicates(docs, repeats=True, checks=0).collect()}) < 4

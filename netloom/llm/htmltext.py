@@ -40,13 +40,15 @@ CLOSES = {
 }
 #: Block elements that end an open paragraph.
 _ENDS_P = BLOCK - {"html", "body", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "option", "optgroup"} | {"li", "dd", "dt"}
-_NAMES = (r"ads?|advert\w*|adsense|adslot|adbox|adbanner|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|"
-          r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|sidebar|side|aside|widget|"
-          r"nav|navbar|navigation|navi|menu|breadcrumbs?|pagination|pager|toc|footer|masthead|topbar|toolbar|"
+_NAMES = (r"ads?|advert\w*|adsense|adslot|adbox|adbanner|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|notifications?|"
+          r"alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login|paywall|sidebars?|aside|widgets?|"
+          r"nav|navbar|navigation|navi|menus?|menubar|breadcrumbs?|pagination|pager|toc|footers?|masthead|topbar|toolbar|"
           r"comments?|commentlist|disqus|respond|replies|discussion|share|sharing|social|follow|related|recommended|"
-          r"recommendations|trending|popular|tags|outbrain|taboola|skip|search|searchbox|form|hidden")
+          r"recommendations|trending|popular|tags|outbrain|taboola|skip|searchbox|hidden")
 #: One of these as a whole part of a class, id or role marks furniture.
 _FURNITURE = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])")
+#: Names of a page's own header, which an article's may share.
+_HEADER = re.compile(r"(?:^|\s)(?:(?:site|page|top|global|main)[_-])?header(?:$|\s)")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</[^>]*>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -79,7 +81,8 @@ def _is_furniture(name: str, attrs: str, inside: bool) -> bool:
             return True
         if key in ("class", "id"):
             words.append(_CAMEL.sub("-", value).lower())
-    return bool(words) and _FURNITURE.search(" ".join(words)) is not None
+    named = " ".join(words)
+    return bool(named) and (_FURNITURE.search(named) is not None or not inside and _HEADER.search(named) is not None)
 
 
 def parse(page: str) -> Node:
@@ -125,7 +128,7 @@ def parse(page: str) -> Node:
                 if node.name == "p":
                     now = node.parent
             inside = False
-            if name == "header":
+            if name == "header" or "header" in attrs.lower():
                 node = now
                 while node is not root and not inside:
                     inside, node = node.name in ("article", "main"), node.parent

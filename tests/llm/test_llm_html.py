@@ -26,6 +26,8 @@ CASES = {
     "no article": (page(f"<div class=content><h1>Title here</h1>{BODY}</div>"), ["Title here", *WANT]),
     "sections": (page(f"<div id=page><div class=part>{BODY}</div><div class=part>{BODY}</div></div>"), [*WANT, *WANT]),
     "own header": (page(f"<article><header><h1>Title</h1></header>{BODY}</article>", before=f"<header><h1>Site name</h1></header>{NAV}"), ["Title", *WANT]),
+    "header by name": (page(f"<div id=content><div class='entry-header'><h2>Title words</h2></div>{BODY}</div>", before="<div id=header><p>Site name and a slogan that is long enough.</p></div>"
+                            "<div class='notices'><p>Some notice that readers see on all pages.</p></div>"), ["Title words", *WANT]),
     "unclosed": (page("<article><h1>T</h1><p><b>Bold lead<br><p>" + "<p>".join(P)).replace("</body></html>", ""), None),
     "advert inside": (page(f"<article>{BODY}{NOISE}{BODY}</article>"), [*WANT, *WANT]),
     "article with comments": (page(f"<article>{BODY}<div id=comments><article class=comment><p>Nice one, indeed, I thought.</p></article></div></article>"), WANT),

@@ -15,7 +15,7 @@ from demo.registry import QUERIES
 
 HEADLINE = ["stations_nearby", "search_stations", "stations_by_id", "stations_by_group", "line_stations",
             "lines_by_group", "routes", "route_types", "arrival_times", "train_route", "bus_stops_near",
-            "enrich_group_stations", "station_train_types", "stop_route_order"]
+            "enrich_group_stations", "station_train_types", "stop_route_order", "integrated_pattern_rows"]
 
 
 def main() -> None:

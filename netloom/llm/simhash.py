@@ -235,7 +235,7 @@ def _forest(v: np.ndarray, fp: np.ndarray, checks: list[np.ndarray], home: np.nd
                 yield int(every[ia]), int(every[ib])
 
 
-def links(fps: DataFrame, plan: Layout, most: int, checks: list[str] = [], most_checks: int = 0) -> DataFrame:
+def links(fps: DataFrame, plan: Layout, most: int, checks: tuple[str, ...] = (), most_checks: int = 0) -> DataFrame:
     """(u, v): links within ``most`` bits that join the same vertices as all such links do.
 
     ``fps``: one row per vertex, columns ``v`` (its number) and ``fp`` long.  With ``checks``, columns of check
@@ -307,7 +307,7 @@ def components(fp_rows: DataFrame, most: int, key: str = "doc_id", fp: str = "fi
     fps = cut(named.groupBy(F.col("_v").alias("v")).agg(F.min(fp).alias("fp"), *[F.min(c).alias(c) for c in more], F.min(key).alias("low")),
               "fingerprints")
     n, both = bit_counts(fps.select("fp"))
-    roots = star_roots(links(fps.drop("low"), layout(n, both, most), most, more, most_checks))
+    roots = star_roots(links(fps.drop("low"), layout(n, both, most), most, tuple(more), most_checks))
     rooted = (fps.join(roots.select(F.col("u").alias("v"), "root"), "v", "left")
               .select("v", "low", F.coalesce("root", "v").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias(out))
@@ -344,5 +344,5 @@ def keep_first(docs: DataFrame, words: int = 5, most: int = 8) -> DataFrame:
     found = near_duplicates(known, words, most)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     # The semi-join leaves each task's rows together and in order by doc_id, which the last step reuses.
-    some = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return some.unionByName(docs.where("doc_id IS NULL"))

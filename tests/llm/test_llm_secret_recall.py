@@ -1,0 +1,39 @@
+import random
+import string
+
+from netloom.llm import secrets
+
+CLASSES = {"base64": string.ascii_letters + string.digits + "+/", "base36": string.ascii_lowercase + string.digits,
+           "base32": string.ascii_uppercase + "234567", "letters": string.ascii_letters}
+PLAIN = ["internationalisationsfreundlichkeit", "/usr/local/share/some/long/directory/name2", "getElementsByClassNameOrTag", "2024-05-17/some-long-headline-of-words",
+         "123E4567-e89b-12d3-a456-426614174000", "AKEY-EXAMPLE-0a1b2c3d4e5f", "SOME_CONSTANT_NAME_OF_MANY_WORDS", "1" * 40]
+
+
+def recall(spark, n):
+    """Share of random strings of n characters found, and of those covered whole, for each class."""
+    rng = random.Random(n)
+    rows = [(c, f"say {''.join(rng.choice(a) for _ in range(n))} here") for c, a in CLASSES.items() for _ in range(200)]
+    found, whole = dict.fromkeys(CLASSES, 0.0), dict.fromkeys(CLASSES, 0.0)
+    for r in secrets.redact(spark.createDataFrame(rows, "name string, text string")).collect():
+        found[r.name] += ("[SECRET]" in r.text) / 200
+        whole[r.name] += (r.text == "say [SECRET] here") / 200
+    return found, whole
+
+
+def test_random_strings_are_blotted_out_whole(spark):
+    for n in (20, 24, 32, 40):
+        found, whole = recall(spark, n)
+        # A run of 20 capitals is a word, and one base32 string of 64 is just that.
+        assert all(found[c] >= (0.97 if c == "base32" else 0.99) for c in CLASSES), (n, found)
+        assert all(whole[c] >= (0.94 if c == "base32" else 0.98) for c in CLASSES), (n, whole)
+
+
+def test_words_paths_and_samples_stay(spark):
+    df = spark.createDataFrame([(f"see {t} there",) for t in PLAIN], "text string")
+    assert [r.text for r in secrets.redact(df).collect()] == [r.text for r in df.collect()]
+
+
+def test_a_sample_word_inside_a_secret_does_not_free_it(spark):
+    rng = random.Random(3)
+    key = "".join(rng.choice(CLASSES["base64"]) for _ in range(30))
+    assert secrets.redact(spark.createDataFrame([(key + "xdummyz" + key,)], "text string")).first().text == "[SECRET]"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netloom.llm import bpe, chat, htmltext, langid, quality, secrets, simhash, sql, tiling, toxicity, warc
+from netloom.llm import bpe, chat, htmltext, infill, langid, mixing, negatives, quality, secrets, simhash, sql, tiling, toxicity, warc
 from netloom.llm.shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +102,24 @@ def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("op11_mixing", sql.MIXING)
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document and how many of them a mix of the sources by weight takes."""
+    return mixing.mixture(read(spark, sf_dir, "documents"))
+
+
+@query("op12_infill", sql.INFILL)
+def infills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of every document's fill-in-middle output and of the text restored from it."""
+    return infill.infill_digests(read(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", sql.NEGATIVES)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and each of its positives."""
+    return negatives.mined(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -62,3 +62,53 @@ SELECT c.conv_id, c.n_common,
                 FILTER (WHERE side = 'b' AND i > c.n_common AND role = 'assistant'), '') AS rejected_spans
 FROM c LEFT JOIN p ON p.conv_id = c.conv_id GROUP BY c.conv_id, c.n_common
 """
+
+MIXING = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+s AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+             CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), t)), 1, 15) AS BIGINT) AS h FROM d),
+r AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS w FROM s GROUP BY source),
+o AS (SELECT *, sum(3 * source_size) OVER k AS cap, sum(w) OVER k AS wsum FROM r WINDOW k AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT CAST(sum(source_size) AS DOUBLE) AS total, sum(w) AS weights FROM r),
+l AS (SELECT greatest(max(total / weights), max(CASE WHEN weights > wsum THEN (total - cap) / (weights - wsum) END)) AS level FROM o, t),
+g AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), w * level) AS target FROM r, l),
+c AS (SELECT s.*, source_size, target, CAST(sum(size) OVER (PARTITION BY s.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS DOUBLE) AS upto,
+             CAST(sum(size) OVER (PARTITION BY s.source, h) AS DOUBLE) AS here FROM s JOIN g ON g.source IS NOT DISTINCT FROM s.source),
+p AS (SELECT *, target - (k - 1) * source_size AS budget FROM c, (SELECT unnest([1, 2, 3]) AS k)),
+x AS (SELECT *, CASE WHEN budget <= 0 THEN 0 WHEN budget >= source_size THEN 1
+                     WHEN upto < budget OR (upto - here < budget AND upto - budget < budget - (upto - here)) THEN 1
+                     ELSE 0 END AS hit FROM p)
+SELECT doc_id, size, source_size, target, CAST(size * sum(hit) AS BIGINT) AS taken FROM x GROUP BY doc_id, h, size, source, source_size, target
+"""
+
+INFILL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+             CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2,
+             CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),
+n AS (SELECT *, len(us) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                                   WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM n),
+p AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+NEGATIVES = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""

@@ -101,12 +101,12 @@ ls AS (SELECT line_cd, station_g_cd, max(station_cd) AS group_station FROM ast G
 own AS (SELECT a.station_g_cd AS req_id, a.station_cd, a.station_g_cd, 0 AS group_rank, rl.alias_station, rl.line_cd, CAST(NULL AS BIGINT) AS bus_stop
   FROM ast a JOIN rl ON rl.station_g_cd = a.station_g_cd),
 anchor AS (SELECT station_g_cd, arg_min(lat, station_cd) AS lat, arg_min(lon, station_cd) AS lon FROM ast WHERE transport_type = 0 GROUP BY 1),
-dist AS (SELECT n.station_g_cd AS src, s.station_cd AS stop_cd, s.station_g_cd AS stop_g, s.line_cd, s.lat, s.lon,
-    {HAV.format(a='n.lat', b='s.lat', c='n.lon', d='s.lon')} AS km FROM anchor n JOIN stations s ON s.e_status = 0 AND s.transport_type = 1),
-near AS (SELECT d.* FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY km, stop_cd) AS rank FROM dist) d
-  JOIN lines l ON l.line_cd = d.line_cd AND l.e_status = 0 WHERE d.rank <= 50),
-close AS (SELECT a.station_cd, a.station_g_cd, n.stop_cd, n.stop_g, n.line_cd, n.rank FROM ast a JOIN near n ON n.src = a.station_g_cd
-  WHERE a.transport_type = 0 AND 1000 * {HAV.format(a='a.lat', b='n.lat', c='a.lon', d='n.lon')} <= 300),
+close AS (SELECT a.station_cd, a.station_g_cd, s.station_cd AS stop_cd, s.station_g_cd AS stop_g, s.line_cd,
+    row_number() OVER (PARTITION BY a.station_cd ORDER BY {HAV.format(a='n.lat', b='s.lat', c='n.lon', d='s.lon')}, s.station_cd) AS rank
+  FROM ast a JOIN anchor n ON n.station_g_cd = a.station_g_cd
+  JOIN stations s ON s.e_status = 0 AND s.transport_type = 1 AND s.lat BETWEEN a.lat - 0.003 AND a.lat + 0.003
+  JOIN lines l ON l.line_cd = s.line_cd AND l.e_status = 0
+  WHERE a.transport_type = 0 AND 1000 * {HAV.format(a='a.lat', b='s.lat', c='a.lon', d='s.lon')} <= 300),
 gr AS (SELECT station_cd, station_g_cd, stop_g, min(rank) AS group_rank FROM close GROUP BY 1, 2, 3),
 bl AS (SELECT gr.station_cd, gr.station_g_cd, v.line_cd, min((gr.group_rank, v.station_cd)) AS o
   FROM gr JOIN served v ON v.station_g_cd = gr.stop_g JOIN lines l ON l.line_cd = v.line_cd AND l.transport_type = 1 GROUP BY 1, 2, 3),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import geo
@@ -154,27 +154,27 @@ def _line_station(net: Network) -> DataFrame:
 def nearby_bus_lines(net: Network, stations: DataFrame) -> DataFrame:
     """Bus lines around rail stations.
 
-    Candidates are the 50 nearest stops of the group's first coordinate, those within 300 m
-    of the station itself count.  Lines come in the order of their stop groups, nearest
-    first; each line once, with the nearest candidate stop of that line attached.
+    All active stops within 300 m of the station count, on active lines.  Lines come in the order of their stop groups, by
+    distance from the group's first coordinate; each line once, with the nearest stop of that line attached.
     """
     rail = stations.where(F.col("transport_type") == RAIL)
     # One probe per coordinate, however many requests and stations share it.
     anchors = C.first_by(rail.select("req_id", "station_g_cd", "ord", F.col("lat").alias("a_lat"),
                                      F.col("lon").alias("a_lon")), ["req_id", "station_g_cd"], ["ord"]).drop("ord")
-    probes = anchors.select("a_lat", "a_lon").distinct().select(
-        F.struct("a_lat", "a_lon").alias("source_g_cd"), F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon"))
-    stops = S.bus_stops_near(net, probes).select(
-        "source_g_cd.a_lat", "source_g_cd.a_lon", "stop_cd", "stop_g_cd", "stop_line_cd", "rank",
-        F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     spots = (rail.select("req_id", "station_cd", "station_g_cd", "lat", "lon").distinct()
              .join(anchors, ["req_id", "station_g_cd"]))
+    stops = (L.active(net.stations).where(F.col("transport_type") == BUS)
+             .join(L.active_lines(net).select("line_cd"), "line_cd", "left_semi")
+             .select(F.col("station_cd").alias("stop_cd"), F.col("station_g_cd").alias("stop_g_cd"), F.col("line_cd").alias("stop_line_cd"), "lat", "lon"))
+    around = S.within_radius(spots.select(F.col("lat").alias("qlat"), F.col("lon").alias("qlon")).distinct(), stops, S.BUS_STOP_RADIUS_M)
+    around = around.select(F.col("qlat").alias("lat"), F.col("qlon").alias("lon"), "stop_cd", "stop_g_cd", "stop_line_cd",
+                           F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     places = spots.select("a_lat", "a_lon", "lat", "lon").distinct()
-    # Used for the lines and for the stop shown with each, so the search result is kept.
-    near = (places.join(C.materialize(stops, "near-stops"), ["a_lat", "a_lon"])
-            .where(geo.haversine_m(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-                   <= S.BUS_STOP_RADIUS_M))
+    far = geo.haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("s_lat"), F.col("s_lon"))
     place = ["a_lat", "a_lon", "lat", "lon"]
+    order = Window.partitionBy(*place).orderBy(far, "stop_cd")
+    # Used for the lines and for the stop shown with each, so the search result is kept.
+    near = C.materialize(places.join(around, ["lat", "lon"]).withColumn("rank", F.row_number().over(order)), "near-stops")
     groups = near.groupBy(*place, "stop_g_cd").agg(F.min("rank").alias("group_rank"))
     bus_rows = (L.served_stations(net).select(F.col("station_cd").alias("alias_station"),
                                               F.col("station_g_cd").alias("stop_g_cd"), "line_cd")

@@ -1,121 +1,52 @@
 """k nearest and within-radius joins over points on the globe.
 
-Both are equi-joins on grid cells followed by an exact distance test.  The grid has a few
-levels; a request picks the finest level whose 3x3 block already holds enough points, which
-bounds its search circle, and then visits just the cells that circle touches.  Requests and
-points at one coordinate are collapsed first, so a crowded spot costs one row, not one per
-copy.
+Nearest points are found by descending a count-refined cell tree (``celltree``), which a snapshot keeps; pairs within a radius by an
+equi-join on the grid cells of that size.  An exact distance test follows.  Requests and points at one coordinate are collapsed
+first, so a crowded spot costs one row, not one per copy.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import geo
+from netloom.operators import celltree
 from netloom.operators import common as C
 from netloom.operators import lookup as L
 from netloom.schema import BUS, RAIL, Network
 
 BUS_STOP_RADIUS_M = 300.0
+#: Stops a caller of ``bus_stops_near`` gets if it names no number. (fixed value)
 BUS_CANDIDATES = 50
-LEVELS = [16, 14, 12, 10, 8, 6, 4]
-COARSEST = 4
-
-
-def _by_level(level: Column, values: dict[int, object]) -> Column:
-    out = F.lit(None)
-    for lv, v in values.items():
-        out = F.when(level == lv, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
-    return out
-
-
-def _cell_counts(spots: DataFrame) -> DataFrame:
-    """Points per non-empty cell of every level."""
-    return (_points_by_level(spots).groupBy("kind", "level", "cx", "cy")
-            .agg(F.sum("copies").alias("n")))
-
-
-def _search_radius(spots: DataFrame, asks: DataFrame) -> DataFrame:
-    """Per ask, a radius certain to contain its ``k`` nearest points and the level to search."""
-    counts = _cell_counts(spots)
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                        for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    levels = F.array(*[F.struct(F.lit(lv).alias("level"), geo.cell_x(F.col("qlon"), lv).alias("x"),
-                                geo.cell_y(F.col("qlat"), lv).alias("y"),
-                                F.lit(1 << lv).cast("bigint").alias("wrap")) for lv in LEVELS])
-    blocks = (asks.withColumn("_l", F.explode(levels)).withColumn("_o", F.explode(offsets))
-              .select("ask_id", "kind", "k", F.col("_l.level").alias("level"),
-                      F.pmod(F.col("_l.x") + F.col("_o.dx"), F.col("_l.wrap")).alias("cx"),
-                      (F.col("_l.y") + F.col("_o.dy")).alias("cy")))
-    held = (blocks.join(counts, ["kind", "level", "cx", "cy"])
-            .groupBy("ask_id", "level", "k").agg(F.sum("n").alias("n")))
-    best = held.where("n >= k").groupBy("ask_id").agg(F.max("level").alias("level"))
-    # Two points in the middle and any cell of a 3x3 block differ by at most two widths per axis.
-    reach = _by_level(F.col("level"), {
-        lv: math.radians(2.0 * geo.cell_size(lv)) * math.sqrt(2.0) * geo.EARTH_RADIUS_M for lv in LEVELS})
-    ranged = asks.join(best, "ask_id", "left").withColumn("radius", reach)
-    return ranged.where("radius is not null").unionByName(
-        _far_radius(counts, ranged.where("radius is null").drop("radius", "level")))
-
-
-def _far_radius(counts: DataFrame, asks: DataFrame) -> DataFrame:
-    """Radius for asks with too few points around them, from the coarsest cells: the
-    smallest distance within which whole cells hold ``k`` points, else the globe."""
-    size = geo.cell_size(COARSEST)
-    # At most 2 kinds x 16 x 8 cells exist at the coarsest level.
-    coarse = F.broadcast(counts.where(F.col("level") == COARSEST).select(
-        "kind", "n", ((F.col("cx") + 0.5) * size - 180.0).alias("clon"),
-        ((F.col("cy") + 0.5) * size - 90.0).alias("clat")))
-    half = math.radians(size / 2.0) * math.sqrt(2.0) * geo.EARTH_RADIUS_M
-    upper = geo.haversine_m(F.col("qlat"), F.col("qlon"), F.col("clat"), F.col("clon")) + half
-    w = Window.partitionBy("ask_id").orderBy("upper").rowsBetween(Window.unboundedPreceding, 0)
-    enough = (asks.join(coarse, "kind").withColumn("upper", upper)
-              .withColumn("held", F.sum("n").over(w)).where("held >= k")
-              .groupBy("ask_id").agg(F.min("upper").alias("radius")))
-    globe = math.pi * geo.EARTH_RADIUS_M
-    return (asks.join(enough, "ask_id", "left")
-            .withColumns({"level": F.lit(COARSEST), "radius": F.coalesce("radius", F.lit(globe))}))
-
-
-def _cells_in_reach(asks: DataFrame) -> DataFrame:
-    """One row per (ask, cell) that the circle's bounding box touches, at the ask's level."""
-    size = _by_level(F.col("level"), {lv: geo.cell_size(lv) for lv in LEVELS})
-    wrap = _by_level(F.col("level"), {lv: F.lit(1 << lv).cast("bigint") for lv in LEVELS})
-    lat_r, lon_r = geo.lat_reach(F.col("radius")), geo.lon_reach(F.col("qlat"), F.col("radius"))
-    y0 = F.greatest(F.lit(0), F.floor((F.col("qlat") - lat_r + 90.0) / size))
-    y1 = F.greatest(y0, F.least(F.floor(wrap / 2), F.floor((F.col("qlat") + lat_r + 90.0) / size)))
-    x0 = F.floor((F.col("qlon") - lon_r + 180.0) / size)
-    x1 = F.least(F.floor((F.col("qlon") + lon_r + 180.0) / size), x0 + wrap - 1)
-    return (asks.withColumn("cy", F.explode(F.sequence(y0, y1)))
-            .withColumn("_x", F.explode(F.sequence(x0, x1)))
-            .withColumn("cx", F.pmod(F.col("_x"), wrap)).drop("_x"))
+#: Kinds of points in a snapshot's tree beside rail and bus stations on a line: all active bus stops.
+ANY_STOP = 2
+
+
+def station_points(net: Network) -> DataFrame:
+    """point_id, kind, lat, lon: active stations whose line exists by transport, and all active bus stops."""
+    known = (L.active(net.stations).join(net.lines.select("line_cd"), "line_cd", "left_semi")
+             .select(F.col("station_cd").alias("point_id"), F.col("transport_type").alias("kind"), "lat", "lon"))
+    stops = (L.active(net.stations).where(F.col("transport_type") == BUS)
+             .select(F.col("station_cd").alias("point_id"), F.lit(ANY_STOP).alias("kind"), "lat", "lon"))
+    return known.unionByName(stops)
 
 
-def _points_by_level(points: DataFrame) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(level).alias("level"), geo.cell_x(F.col("lon"), level).alias("cx"),
-                               geo.cell_y(F.col("lat"), level).alias("cy")) for level in LEVELS])
-    return points.withColumn("_c", F.explode(cells)).select(
-        "*", "_c.level", "_c.cx", "_c.cy").drop("_c")
+def with_tree(net: Network) -> Network:
+    """The snapshot with its cell tree, which the nearest joins then share."""
+    return net.with_tables(tree=celltree.build(station_points(net)))
 
 
-def k_nearest(points: DataFrame, asks: DataFrame, cap: int) -> DataFrame:
+def k_nearest(points: DataFrame, asks: DataFrame, cap: int, tree: celltree.CellTree | None = None) -> DataFrame:
     """The ``k`` nearest points per ask, ties broken by ``point_id``.
 
     ``points(point_id, kind, lat, lon)``, ``asks(ask_id, kind, qlat, qlon, k)`` with
-    ``k <= cap``; only points of the ask's kind count.  Adds ``distance_km`` and ``rank``.
+    ``k <= cap``; only points of the ask's kind count.  Adds ``distance_km`` and ``rank``.  ``tree`` is the points' own, built here if
+    none is given.
     """
     # At one coordinate all distances tie and ids decide, so `cap` copies are enough.
     here = C.top_by(points, ["kind", "lat", "lon"], ["point_id"], F.lit(cap), cap, "_copy").drop("_copy")
-    spots = here.groupBy("kind", "lat", "lon").agg(F.count(F.lit(1)).alias("copies"))
-    close = (_cells_in_reach(_search_radius(spots, asks))
-             .join(_points_by_level(spots), ["kind", "level", "cx", "cy"])
-             .withColumn("distance_km", geo.haversine_km(
-                 F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")))
-             .where(F.col("distance_km") * 1000.0 <= F.col("radius") * (1 + 1e-9) + 1e-3)
-             .select("ask_id", "k", "kind", "lat", "lon", "distance_km"))
+    close = celltree.nearest_spots(tree or celltree.build(points), asks).drop("copies")
     # Every spot holds a point, so spots ranked past k (ties kept) cannot contribute.
     by_distance = Window.partitionBy("ask_id").orderBy("distance_km")
     kept = (close.withColumn("_spot", F.rank().over(by_distance))
@@ -130,8 +61,7 @@ def stations_nearby(net: Network, req: DataFrame) -> DataFrame:
     ``req(req_id, lat, lon, limit?, transport?)``; limit defaults to 1 and is honoured whatever it is.
     ``rank`` orders a request's rows, ``distance`` is in metres.
     """
-    points = (L.active(net.stations).join(net.lines.select("line_cd"), "line_cd", "left_semi")
-              .select(F.col("station_cd").alias("point_id"), F.col("transport_type").alias("kind"), "lat", "lon"))
+    points = station_points(net)
 
     def given(name: str, default) -> Column:
         return F.coalesce(F.col(name), F.lit(default)) if name in req.columns else F.lit(default)
@@ -141,7 +71,7 @@ def stations_nearby(net: Network, req: DataFrame) -> DataFrame:
                        given("transport", "RailAndBus").alias("transport"))
     # Requests for one place and setting are answered once.
     keys = ["qlat", "qlon", "want", "transport"]
-    rails = points.agg(F.count(F.when(F.col("kind") == RAIL, 1)).alias("rails"))  # one row
+    rails = points.where(F.col("kind") == RAIL).agg(F.count(F.lit(1)).alias("rails"))  # one row
 
     def part(kind: int, k: Column, base: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), k.alias("k"), base.alias("base"))
@@ -156,7 +86,7 @@ def stations_nearby(net: Network, req: DataFrame) -> DataFrame:
             .select(*keys, "_part.*").where("k > 0")
             .withColumn("ask_id", F.struct(*keys, "kind", "base")))
     largest = spots.agg(F.max("want")).first()[0] or 1  # one number
-    found = k_nearest(points, asks.select("ask_id", "kind", "qlat", "qlon", "k"), int(largest))
+    found = k_nearest(points, asks.select("ask_id", "kind", "qlat", "qlon", "k"), int(largest), net.tree)
     return (spots.join(found.select("ask_id.*", "point_id", "distance_km", "rank"), keys)
             .select("req_id", F.col("point_id").alias("station_cd"),
                     (F.col("rank") + F.col("base")).alias("rank"),
@@ -175,13 +105,12 @@ def bus_stops_near(net: Network, coords: DataFrame, k: int = BUS_CANDIDATES) ->
 
     ``coords(source_g_cd, lat, lon)``; returns keys, stop station and ``rank``.
     """
-    points = (L.active(net.stations).where(F.col("transport_type") == BUS)
-              .select(F.col("station_cd").alias("point_id"), F.lit(BUS).alias("kind"), "lat", "lon"))
-    asks = coords.select(F.col("source_g_cd").alias("ask_id"), F.lit(BUS).alias("kind"),
+    points = station_points(net).where(F.col("kind") == ANY_STOP)
+    asks = coords.select(F.col("source_g_cd").alias("ask_id"), F.lit(ANY_STOP).alias("kind"),
                          F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.lit(k).alias("k"))
     stops = (net.stations.select(F.col("station_cd").alias("point_id"), "line_cd", "station_g_cd")
              .join(L.active_lines(net).select("line_cd"), "line_cd", "left_semi"))
-    return (k_nearest(points, asks, k).join(stops, "point_id")
+    return (k_nearest(points, asks, k, net.tree).join(stops, "point_id")
             .select(F.col("ask_id").alias("source_g_cd"), F.col("point_id").alias("stop_cd"),
                     F.col("station_g_cd").alias("stop_g_cd"), F.col("line_cd").alias("stop_line_cd"),
                     "lat", "lon", "rank", "distance_km"))

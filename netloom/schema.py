@@ -124,6 +124,8 @@ class Network:
     aliases: DataFrame
     line_aliases: DataFrame
     bounds: dict[str, int] | None = None
+    #: The cell tree of the stations (``operators.spatial.with_tree``); nearest joins build one where it is missing.
+    tree: object | None = None
 
     @property
     def sst(self) -> DataFrame:

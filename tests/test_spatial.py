@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from netloom.operators import celltree
 from netloom.operators import spatial as S
 
 
@@ -40,6 +41,36 @@ def test_k_nearest(spark, world):
             assert [x[1] for x in mine] == [w[1] for w in want]
 
 
+def test_a_crowded_area_is_refined(spark):
+    """32,000 coordinates within one old finest cell (600 m): few of them meet an ask."""
+    rng = random.Random(9)
+    points = [(i, 0, 35.0 + rng.random() * 0.004, 139.0 + rng.random() * 0.004) for i in range(32_000)]
+    points += [(50_000 + i, 0, 35.0, 139.0 + i * 1e-9) for i in range(200)]  # closer than the finest cell is wide
+    asks = [(n, 0, 35.0 + 0.004 * rng.random(), 139.0 + 0.004 * rng.random(), k) for n, k in enumerate([1, 5, 50, 50, 400])]
+    asks += [(10, 0, 34.9, 139.0, 3), (11, 0, -35.0, -41.0, 2), (12, 0, 35.0, 139.0, 250)]
+    p = spark.createDataFrame(points, "point_id int, kind int, lat double, lon double")
+    a = spark.createDataFrame(asks, "ask_id int, kind int, qlat double, qlon double, k int")
+    tree = celltree.build(p)
+    assert tree.spots.groupBy("level", "cx", "cy").count().where(f"count > {celltree.FULL} AND level < {celltree.FINEST}").count() == 0
+    met = {r.ask_id: r["count"] for r in celltree.leaves_in_reach(tree, a).join(tree.spots, ["kind", "level", "cx", "cy"]).groupBy("ask_id").count().collect()}
+    for ask in asks:
+        assert met[ask[0]] <= 8 * ask[4] + 20 * celltree.FULL, ask
+    got = {}
+    for r in S.k_nearest(p, a, 1000, tree).collect():
+        got.setdefault(r.ask_id, []).append((r.rank, r.distance_km))
+    for n, _, lat, lon, k in asks:
+        want = sorted(km((lat, lon), x[2:]) for x in points)[:k]
+        assert [d for _, d in sorted(got[n])] == pytest.approx(want, rel=1e-9, abs=1e-7)
+
+
+def test_trees_of_nothing_and_of_missing_coordinates(spark):
+    schema = "point_id int, kind int, lat double, lon double"
+    ask = spark.createDataFrame([(1, 0, 1.0, 1.0, 2)], "ask_id int, kind int, qlat double, qlon double, k int")
+    assert S.k_nearest(spark.createDataFrame([], schema), ask, 5).count() == 0
+    rows = S.k_nearest(spark.createDataFrame([(1, 0, None, 2.0), (2, 0, 90.0, 180.0), (3, 1, 1.0, 1.0)], schema), ask, 5).collect()
+    assert [r.point_id for r in rows] == [2]
+
+
 def test_within_radius(spark, world):
     points, _ = world
     rng = random.Random(8)

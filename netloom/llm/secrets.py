@@ -1,9 +1,13 @@
 """Secret scan with built-in functions only.
 
-Rules find keyword assignments, access keys and long hex runs.  Candidate strings - long runs of one character
-class - are read by a sliding window: the Shannon entropy of its characters is kept up to date from the counts of
-the character that leaves and the one that enters.  Windows above the class's threshold merge into spans, unless the
-candidate is on the allow list.  Spans of the rules always stay.
+Rules find keyword assignments, access keys and long hex runs.  Candidate strings - long runs of key characters - belong to
+the narrowest class that holds them (hex, one case and digits, letters, base64) and are read by a sliding window: the
+counts of its characters, and with them its Shannon entropy, are kept up to date from the character that leaves and the one that
+enters.  A candidate with a window above its class's threshold is a span as a whole, so no tail of a secret stays, unless it is on
+the allow list.  Spans of the rules always stay.
+
+No pattern repeats a group, which Java's engine would do by recursion; all reading is linear in the text, but for the prefix sums
+of match positions, which take the power 1.5 of the number of matches.
 
 All positions are code points.  A pattern's matches and the gaps between them (a split by the same pattern) give the
 positions, since no function returns them.
@@ -11,6 +15,7 @@ positions, since no function returns them.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,41 +49,66 @@ RULES = (
 
 @dataclass(frozen=True)
 class Charset:
-    """A class of candidate strings: runs of ``chars`` of at least ``window``, suspicious from ``bits`` of entropy."""
+    """A class of candidate strings: those of ``chars`` alone that no class before holds, suspicious from ``bits`` of entropy in a window."""
 
     kind: str
+    pattern: str
     chars: str
-    window: int
     bits: float
 
 
-#: The most a window of 24 can have is log2(24) = 4.58 bits (hex: 4).  Random base64 has 4.2 or more in nearly every
-#: window; invented or natural words rarely pass 3.9.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Characters of a window and, at least, of a candidate.
+WINDOW = 24
+#: Thresholds lie where 99 % and more of the windows of random strings of the class are above: 0.5 to 1 % quantiles of
+#: simulated windows of 24 are 3.02-3.07 bits for hex, 3.49-3.61 for one case and digits, 3.77-3.80 for letters, 3.82-3.89 for base64.
 CHARSETS = (
-    Charset("entropy_hex", "0-9A-F", 24, 3.2),
-    Charset("entropy_base64", "A-Za-z0-9+/_=-", 24, 4.2),
+    Charset("entropy_hex", "^[0-9A-F]+$", _DIGITS + "ABCDEF", 3.0),
+    Charset("entropy_base36", "^[A-Z0-9]+$|^[a-z0-9]+$", _DIGITS + _UPPER + _LOWER, 3.47),
+    Charset("entropy_letters", "^[A-Za-z]+$", _UPPER + _LOWER, 3.72),
+    Charset("entropy_base64", "", _DIGITS + _UPPER + _LOWER + "+/_-=", 3.8),
 )
-#: Candidates that are no secrets: one case of letters only (words), UUIDs, paths and dotted or dashed words, runs of
-#: digits, and sample keys.
-ALLOW = (r"^[A-Z]?[a-z]+$|^[A-Z]+$|^[0-9]+$"
-         r"|^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
-         r"|^/?[A-Za-z]+([/_=-]+[A-Za-z]+)*[/_=-]*$|(?i)example|sample|placeholder|dummy|changeme|your_?")
+CANDIDATE = f"[A-Za-z0-9+/_-]{{{WINDOW},}}={{0,2}}"
+#: Parts of a candidate, between separators, that are words or numbers; a candidate of such parts only (paths, dotted or dashed
+#: names, dates, plain words) is no secret.
+WORDLIKE, SEPARATORS = "^[A-Z]?[a-z]*$|^[A-Z]*$|^[0-9]*$", "[/_=+-]"
+#: Whole candidates that are no secrets: lower-case hex (a rule's matter), UUIDs and sample keys.
+ALLOW = (r"^[0-9a-f]+$|^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+         r"|(?i)example|sample|placeholder|dummy|changeme|your_?")
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(widths: Column) -> Column:
+    """Sums of the numbers before each place, in chunks of the square root of their count: appending to a long array copies it."""
+    longs = "array<bigint>"
+
+    def fold(values, start, add):
+        return F.aggregate(values, F.struct(start.cast("bigint").alias("at"), F.array().cast(longs).alias("out")), lambda s, x: F.struct(
+            (s["at"] + add(x)).cast("bigint").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def chunked(w):
+        step = F.greatest(F.ceil(F.sqrt(F.size(w))), F.lit(1)).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / step) - 1, F.lit(0)).cast("int")), lambda c: F.slice(w, c * step + 1, step))
+        total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+        return _let(chunks, lambda cs: _let(fold(cs, F.lit(0), total), lambda offsets: F.flatten(
+            F.transform(cs, lambda c, i: fold(c, F.get(offsets, i), lambda x: x)))))
+
+    return _let(widths, chunked)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, hit>> of all matches of ``pattern`` (without groups of its own), left to right."""
     hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    # The piece before match i ends where it starts; -1 keeps empty pieces.
+    # The piece before match i ends where it starts; -1 keeps empty pieces.  The piece after the last match goes with none.
     gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
-    # A last gap without a match has a null hit and adds nothing.
-    return F.aggregate(
-        parts, start,
-        lambda s, p: F.when(p["hit"].isNull(), s).otherwise(F.struct(
-            (s["at"] + p["g"] + F.length(p["hit"])).cast("int").alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + p["g"]).cast("int").alias("start"), p["hit"].alias("hit")))).alias("out"))),
-        lambda s: s["out"])
+    parts = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
+    widths = lambda ps: F.transform(ps, lambda p: (p["g"] + F.length(p["hit"])).cast("bigint"))
+    return _let(parts, lambda ps: F.zip_with(ps, _starts(widths(ps)), lambda p, at: F.struct(
+        (at + p["g"]).cast("int").alias("start"), p["hit"].alias("hit"))))
 
 
 def _span(kind: str, start: Column, stop: Column) -> Column:
@@ -96,54 +126,60 @@ def _rule_spans(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def _hot_windows(hit: Column, cs: Charset) -> Column:
-    """array<struct<lo, hi>>: merged windows of the string whose entropy reaches the threshold, from 0, end exclusive.
+def _hot(hit: Column, cs: Charset) -> Column:
+    """Whether a window of the string reaches the class's entropy.
 
-    With c_x the count of character x in a window of w, entropy is log2(w) - sum(c_x log2 c_x) / w.  The sum changes
-    by the terms of two characters a step.
+    With c_x the count of character x in a window of w, entropy is log2(w) - sum(c_x log2 c_x) / w.  The counts and the sum
+    change by two characters a step; after a hot window nothing is read.
     """
-    w = cs.window
-    chars = F.split(hit, "")
+    w, letters = WINDOW, F.lit(cs.chars)
+    limit = (math.log2(w) - cs.bits) * w + 1e-9
     f = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(0.0)
-    count = lambda window, ch: F.size(F.filter(window, lambda x: x == ch))
-    first = F.slice(chars, 1, w)
-    total = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, ch: s + f(count(first, ch)))
-    limit = (F.log2(F.lit(float(w))) - cs.bits) * w
-    ranges = "array<struct<lo:int,hi:int>>"
-    state = F.struct(total.alias("sum"), F.when(total <= limit + 1e-9, F.array(F.struct(F.lit(0).alias("lo"), F.lit(w).alias("hi"))))
-                     .otherwise(F.array().cast(ranges)).cast(ranges).alias("out"))
-
-    def step(s, i):
-        """From the window that starts at i - 1 to the one at i (positions from 1 in arrays)."""
-        before = F.slice(chars, i, w)
-        gone, new = F.element_at(chars, i), F.element_at(chars, i + w)
-        same = gone == new
-        c_gone, c_new = count(before, gone), count(before, new)
-        moved = F.when(same, s["sum"]).otherwise(s["sum"] - f(c_gone) + f(c_gone - 1) - f(c_new) + f(c_new + 1))
-        this = F.struct(i.cast("int").alias("lo"), (i + w).cast("int").alias("hi"))
-        grown = F.when((F.size(s["out"]) > 0) & (F.try_element_at(s["out"], F.lit(-1))["hi"] >= i),
-                       F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1),
-                                F.array(F.struct(F.try_element_at(s["out"], F.lit(-1))["lo"].alias("lo"), (i + w).cast("int").alias("hi")))))
-        return F.struct(moved.alias("sum"),
-                        F.when(moved > limit + 1e-9, s["out"]).otherwise(F.coalesce(grown, F.concat(s["out"], F.array(this)))).cast(ranges).alias("out"))
-
-    steps = F.when(F.size(chars) > w, F.sequence(F.lit(1), F.size(chars) - w)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, state, step, lambda s: s["out"])
-
-
-def _entropy_spans(text: Column, cs: Charset) -> Column:
-    pattern = f"[{cs.chars}]{{{cs.window},}}"
-    suspect = F.filter(_matches(text, pattern), lambda m: ~m["hit"].rlike(ALLOW))
-    found = F.flatten(F.transform(suspect, lambda m: F.transform(
-        _hot_windows(m["hit"], cs), lambda r: _span(cs.kind, m["start"] + r["lo"], m["start"] + r["hi"]))))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    one = lambda same: F.when(same, 1).otherwise(0)
+
+    def read(codes):
+        def start(first):
+            return F.transform(F.sequence(F.lit(1), F.lit(len(cs.chars))), lambda j: F.size(F.filter(first, lambda x: x == j)))
+
+        def step(s, i):
+            gone, new = F.element_at(codes, i), F.element_at(codes, i + w)
+            c_gone, c_new = F.element_at(s["counts"], gone), F.element_at(s["counts"], new)
+            moved = F.when(gone == new, s["sum"]).otherwise(s["sum"] - f(c_gone) + f(c_gone - 1) - f(c_new) + f(c_new + 1))
+            counts = F.transform(s["counts"], lambda c, j: c + one(j + 1 == new) - one(j + 1 == gone))
+            return F.when(s["hot"], s).otherwise(F.struct(moved.alias("sum"), counts.alias("counts"), (moved <= limit).alias("hot")))
+
+        def fold(counts):
+            total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + f(c))
+            first = _let(total, lambda t: F.struct(t.alias("sum"), counts.alias("counts"), (t <= limit).alias("hot")))
+            steps = F.when(F.size(codes) > w, F.sequence(F.lit(1), F.size(codes) - w)).otherwise(F.array().cast("array<int>"))
+            return F.aggregate(steps, first, step, lambda s: s["hot"])
+
+        return _let(start(F.slice(codes, 1, w)), fold)
+
+    return _let(F.transform(F.split(hit, ""), lambda ch: F.instr(letters, ch)), read)
+
+
+def _entropy_spans(text: Column) -> Column:
+    def judged(m):
+        hot, kind = F.lit(False), F.lit(CHARSETS[-1].kind)
+        for cs in reversed(CHARSETS):
+            mine = m["hit"].rlike(cs.pattern) if cs.pattern else F.lit(True)
+            hot, kind = F.when(mine, _hot(m["hit"], cs)).otherwise(hot), F.when(mine, F.lit(cs.kind)).otherwise(kind)
+        plain = m["hit"].rlike(ALLOW) | F.forall(F.split(m["hit"], SEPARATORS), lambda p: p.rlike(WORDLIKE))
+        return F.struct(kind.alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["hit"])).cast("int").alias("stop"),
+                        F.when(plain, False).otherwise(hot).alias("hot"))
+
+    found = F.filter(F.transform(_matches(text, CANDIDATE), judged), lambda s: s["hot"])
+    spans = F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+    return F.when(text.rlike(CANDIDATE), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str = "spans") -> DataFrame:
     """``df`` plus ``base``, the spans of the rules, and ``spans``, those and the ones by entropy: arrays of
     (kind, start, stop) by start, then kind as listed, in code points, end exclusive.
 
-    Null and empty texts have none.  Columns that carry these names are replaced.  A map: no shuffle.
+    Null and empty texts have none; texts of any length are read whole.  Columns that carry these names are replaced.  A map: no
+    shuffle.
     """
     kinds = [r.kind for r in RULES] + [c.kind for c in CHARSETS]
     order = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
@@ -156,11 +192,10 @@ def scan(df: DataFrame, text: str = "text", base: str = "base_spans", spans: str
     rest = without(df, [base, spans])
     whole = F.coalesce(F.col("__whole"), F.lit(""))
     held = rest.withColumn("__whole", df[text])
-    held = held.withColumns({f"__{k.kind}": _rule_spans(whole, k) for k in RULES} | {f"__{c.kind}": _entropy_spans(whole, c) for c in CHARSETS})
-    rules, more = [F.col(f"__{r.kind}") for r in RULES], [F.col(f"__{c.kind}") for c in CHARSETS]
-    return (held.withColumn(base, sorted_spans(rules)).withColumn(spans, F.when(sum(F.size(m) for m in more) > 0, sorted_spans([*rules, *more]))
-                                                                  .otherwise(F.col(base)))
-            .drop("__whole", *[f"__{k}" for k in kinds]))
+    held = held.withColumns({f"__{k.kind}": _rule_spans(whole, k) for k in RULES} | {"__entropy": _entropy_spans(whole)})
+    rules, more = [F.col(f"__{r.kind}") for r in RULES], F.col("__entropy")
+    return (held.withColumn(base, sorted_spans(rules)).withColumn(spans, F.when(F.size(more) > 0, sorted_spans([*rules, more])).otherwise(F.col(base)))
+            .drop("__whole", "__entropy", *[f"__{r.kind}" for r in RULES]))
 
 
 def listed(spans: Column) -> Column:
@@ -176,15 +211,27 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
     names = ("__base", "__spans")
     found = scan(df, text, *names)
     whole, spans = F.col(text), F.col("__spans")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s, x):
-        cut = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(
-            F.when((x["start"] == s["at"]) & (s["at"] > 0), F.lit("")).otherwise(
-                F.concat(whole.substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["stop"]).cast("int").alias("at"), cut.alias("out"))
 
-    kept = F.aggregate(spans, start, step, lambda s: F.concat(
+    def pieces(at, some, part):
+        """Text and marks up to the last of some spans; ``at`` is where the spans before end and the text ``part`` begins."""
+        start = F.struct(at.cast("int").alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(s, x):
+            add = F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(
+                F.when((x["start"] == s["at"]) & (s["at"] > 0), F.lit("")).otherwise(
+                    F.concat(part.substr(s["at"] - at + 1, x["start"] - s["at"]), F.lit(mark)))))).otherwise(s["out"])
+            return F.struct(F.greatest(s["at"], x["stop"]).cast("int").alias("at"), add.alias("out"))
+
+        return F.aggregate(some, start, step)
+
+    # In chunks of the square root of the number of spans, each cut from its own part of the text and joined to one piece: appending to
+    # a long array copies it, and a place far into a string is found by reading up to it.
+    size = F.greatest(F.ceil(F.sqrt(F.size(spans))), F.lit(1)).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(spans) / size) - 1, F.lit(0)).cast("int")), lambda c: F.slice(spans, c * size + 1, size))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    part = lambda at, some: whole.substr(at + 1, F.greatest(F.array_max(F.transform(some, lambda x: x["stop"])) - at, F.lit(0)))
+    kept = F.aggregate(chunks, first, lambda s, c: _let(part(s["at"], c), lambda text: _let(pieces(s["at"], c, text), lambda p: F.struct(
+        p["at"].alias("at"), F.concat(s["out"], F.array(F.array_join(p["out"], ""))).alias("out")))), lambda s: F.concat(
         F.array_join(s["out"], ""), whole.substr(s["at"] + 1, F.length(whole))))
     return found.withColumn(text, F.when(F.size(spans) > 0, kept).otherwise(whole)).drop(*names)
 

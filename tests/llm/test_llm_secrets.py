@@ -24,18 +24,17 @@ def entropy(s):
 
 
 def entropy_spans(text):
+    """Every window of every candidate on its own."""
     out = []
-    for cs in secrets.CHARSETS:
-        for m in re.finditer(f"[{cs.chars}]{{{cs.window},}}", text or ""):
-            if re.search(secrets.ALLOW.replace("(?i)example", "(?i:example").replace("your_?", "your_?)"), m[0]):
-                continue
-            for i in range(len(m[0]) - cs.window + 1):
-                if entropy(m[0][i:i + cs.window]) >= cs.bits - 1e-10:
-                    lo, hi = m.start() + i, m.start() + i + cs.window
-                    if out and out[-1][0] == cs.kind and out[-1][2] >= lo and out[-1][1] >= m.start():
-                        out[-1] = (cs.kind, out[-1][1], hi)
-                    else:
-                        out.append((cs.kind, lo, hi))
+    for m in re.finditer(secrets.CANDIDATE, text or ""):
+        hit = m[0]
+        if re.search(secrets.ALLOW.replace("(?i)example", "(?i:example").replace("your_?", "your_?)"), hit):
+            continue
+        if all(re.fullmatch("[A-Z]?[a-z]*|[A-Z]*|[0-9]*", p) for p in re.split(secrets.SEPARATORS, hit)):
+            continue
+        cs = next(c for c in secrets.CHARSETS if re.search(c.pattern, hit))
+        if any(entropy(hit[i:i + secrets.WINDOW]) >= cs.bits - 1e-10 for i in range(len(hit) - secrets.WINDOW + 1)):
+            out.append((cs.kind, m.start(), m.end()))
     return out
 
 
@@ -49,7 +48,9 @@ TEXTS = [
     "x" + rand(64) + "\n" + rand(24) + " " + rand(23), rand(60, "0123456789ABCDEF") + " " + "0123456789ABCDEF" * 3, "a" * 30 + rand(30) + "a" * 30 + rand(25),
     "123e4567-E89B-12D3-A456-426614174000", "internationalisationsfreundlichkeitsbeauftragter", "path/to/some/very/long/directory/name/here",
     "exampleKEY" + rand(40), "token=" + rand(12) + " " * 5 + "secret='" + rand(13) + "' password: " + rand(5), (rand(50) + " word ") * 40,
-    "token token: token token=abcdefghijklmnopq token", "9" * 5000, rand(3000)]
+    "token token: token token=abcdefghijklmnopq token", "9" * 5000, rand(3000), "a/" * 3000, rand(30) + "==", "session_id=" + rand(40),
+    "2023/10/11/some-article-title-in-a-long-slug-2", rand(40, B64[:52]), rand(30, "abcdefghijklmnopqrstuvwxyz0123456789"), rand(32, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    "ab1" * 20 + rand(24), "deadbeef" * 3 + " " + ("0f" * 8 + " ") * 300]
 
 
 @pytest.fixture
@@ -99,6 +100,27 @@ def test_redaction(docs):
         assert r.text == want, r.doc_id
 
 
+@pytest.mark.parametrize("name,chars", [("base64", B64), ("base36", "abcdefghijklmnopqrstuvwxyz0123456789"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+                                        ("letters", B64[:52]), ("hex", "0123456789ABCDEF")])
+def test_random_secrets_are_found_and_covered_whole(spark, name, chars):
+    rng = random.Random(name)
+    texts = [f"see {''.join(rng.choice(chars) for _ in range(n))} here" for n in (24, 32, 40) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sum(any(s.start <= 4 and s.stop >= len(texts[r.doc_id]) - 5 for s in r.spans) for r in secrets.scan(df).collect())
+    assert whole >= 0.98 * len(texts), whole / len(texts)
+
+
+def test_long_candidates_of_every_allowed_shape(spark):
+    n = 1 << 20
+    shapes = ["a/" * (n // 2), "word-" * (n // 5), "Word_" * (n // 5), "xyz" * (n // 3), "7" * n, "/" * n, "A" * n, "12/" * (n // 3), "=" * n, "example" + "aB3" * (n // 3),
+              "0123456789abcdef" * (n // 16), ("0123456789abcdef" + "\n") * (n // 17)]
+    df = spark.createDataFrame(list(enumerate(shapes)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    assert [len(got[i]) for i in range(len(shapes))] == [0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1, n // 17]  # long runs of hex digits are a rule's
+    hidden = {r.doc_id: r.text for r in secrets.redact(df.where("doc_id >= 10")).collect()}
+    assert hidden == {10: "[SECRET]", 11: "[SECRET]\n" * (n // 17)}
+
+
 def test_empty_and_repeated(spark, docs):
     assert secrets.secret_report(docs.limit(0)).count() == 0
     assert secrets.secret_report(docs.union(docs)).count() == 2 * len(TEXTS)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import duckdb
 import pytest
@@ -43,6 +44,87 @@ CASES = {
 }
 
 
+LONG = "Some long story text, with many words in it, that goes on and on. " * 8
+CASES |= {
+    "no-sidebar": (f"<body><div class='content no-sidebar'><p>{LONG}</p><p>{LONG}</p></div></body>", [LONG.strip()] * 2),
+    "has-sidebar": (f"<body><div class='layout has-sidebar'><article><p>{LONG}</p></article></div></body>", [LONG.strip()]),
+    "comments-open": (f"<body><article class='post comments-open'><p>{LONG}</p></article></body>", [LONG.strip()]),
+    "popular-science": (f"<body>{NAV}<div class='popular-science'><p>{LONG}</p></div>{FOOT}</body>", [LONG.strip()]),
+    "two articles": (page(f"<div id=c><article><h2>A</h2><p>{LONG}</p></article><article><h2>B</h2><p>{LONG}</p></article></div>"), ["A", LONG.strip(), "B", LONG.strip()]),
+    "teaser": (page(f"<div class=story><h1>S</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><article><p>Teaser of few words</p></article>"),
+               ["S", LONG.strip(), "Short.", LONG.strip()]),
+    "parts of the body": (f"<body>{NAV}<div>Imprint</div><h1>Head</h1><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><p>Short.</p><div><p>{LONG}</p></div><div>Terms</div>{FOOT}</body>",
+                          ["Head", *[LONG.strip()] * 3, "Short.", LONG.strip()]),
+    "inline elements": (f"<body>{NAV}<div><h1>T</h1><p>{LONG}<b>{LONG}</b><br><i>{LONG}</i></p><p>{LONG}</p></div></body>", ["T", " ".join([(LONG * 2).strip(), LONG.strip()]), LONG.strip()]),
+    "more comments than story": (f"<body><article><p>{LONG}</p></article><section class=comments><p>{LONG * 4}</p></section></body>", [LONG.strip()]),
+}
+
+
+def by_the_book(root):
+    """Densities, sums and heart, every block counted on its own from its whole subtree."""
+    def kids(x):
+        return [c for c in x.children if isinstance(c, htmltext.Node) and not c.bad]
+
+    def below(x):
+        return [d for c in kids(x) for d in (c, *below(c))]
+
+    def chars(x):
+        return sum(len(htmltext._WHITE.sub(" ", c.strip())) for y in (x, *below(x)) for c in y.children if isinstance(c, str))
+
+    def links(x):  # outermost links
+        return [d for c in kids(x) for d in ([c] if c.name == "a" else links(c))]
+
+    def tags(x):
+        return sum(d.name == "a" or htmltext._is_block(d) for d in below(x))
+
+    def nearest(x):  # blocks inside x with no block between
+        return [d for c in kids(x) for d in ([c] if htmltext._is_block(c) else nearest(c))]
+
+    nodes = [root, *below(root)]
+    body = next((x for x in nodes if x.name == "body"), root)
+    numbers = lambda x: (chars(x), tags(x), sum(map(chars, links(x))), sum(tags(a) + 1 for a in links(x)))
+    bc, _, bl, _ = numbers(body)
+    dense = {x: htmltext.density(*numbers(x), bc, bl) for x in nodes if htmltext._is_block(x)}
+    sums = {x: sum(dense[d] for d in nearest(x)) or dense[x] for x in dense}
+    inside = [x for x in dense if (x is body or x in below(body)) and chars(x)]
+    return dense, sums, max(inside, key=lambda x: (sums[x], -nodes.index(x)), default=None)
+
+
+@pytest.mark.parametrize("name", [n for n, (h, _) in CASES.items() if h])
+def test_densities_and_heart_by_the_book(name):
+    root = htmltext.parse(CASES[name][0])
+    got = htmltext.measured(root)
+    dense, sums, heart = by_the_book(root)
+    assert {x: pytest.approx(x.density) for x in got} == dense and {x: pytest.approx(x.sum) for x in got} == sums
+    parts = htmltext.main_parts(root)
+    if heart is not None:
+        assert any(isinstance(p, htmltext.Node) and (p.holds(heart) or heart.holds(p)) for p in parts)
+
+
+def test_generated_pages_by_the_book_and_without_the_element():
+    """The method decides on every page: without <article> the same text comes out."""
+    rows = duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    for i, (html,) in enumerate(rows):
+        plain = html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert htmltext.extract(plain) == htmltext.extract(html)
+        if i < 40:
+            root = htmltext.parse(plain)
+            got = htmltext.measured(root)
+            dense, sums, heart = by_the_book(root)
+            assert {x: pytest.approx(x.density) for x in got} == dense
+            assert max((x for x in got if x.own), key=lambda x: (x.sum, -x.start)) is heart or pytest.approx(sums[heart]) == max(sums.values())
+
+
+@pytest.mark.parametrize("name,html", [
+    ("nested", "<div>" * 100_000 + "x" + "</div>" * 100_000), ("quotes", "<a x=\"" * 170_000), ("stray", "<div>" * 50_000 + "</span>" * 100_000),
+    ("inline", "<b>" * 100_000 + "<div></div>" * 50_000), ("items", "<li>" * 200_000), ("signs", "<" * 1_000_000), ("open quote", "<a title=\"" + "x>" * 400_000),
+    ("unclosed", "<p><b>" * 100_000), ("comment", "<!--" * 200_000), ("scripts", "<script>" * 100_000)])
+def test_a_megabyte_of_broken_marks_is_read_in_linear_time(name, html):
+    start = time.process_time()
+    htmltext.extract(html)
+    assert time.process_time() - start < 6  # a quadratic reader needs minutes
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_cases(name):
     html, want = CASES[name]

@@ -2,10 +2,10 @@
 
 A window over one group is sorted inside one task.  Groups here (a stop pattern, a
 line, a request) can in principle hold a large share of all rows, so the sequence
-helpers work on fixed-width chunks of the position column whenever the longest group
-is unknown or exceeds ``CHUNK``; chunk summaries, at most rows/CHUNK of them per group,
-carry the state across chunk borders.  That path reads its input twice, so it writes the
-input first: chained steps then stay linear in cost.
+helpers work on chunks whenever the longest group is unknown or exceeds ``CHUNK``.  Chunks are ranges of
+rows in (group, position) order, cut by rank, so sparse positions make no small ones; chunk summaries carry the state
+across chunk borders, and only groups that cross a border have any.  That path reads its input twice, so it
+writes the input first: chained steps then stay linear in cost.
 """
 
 from __future__ import annotations
@@ -104,12 +104,26 @@ def _fits(bound: int | None, chunk: int) -> bool:
     return bound is not None and bound <= chunk
 
 
+def rank_chunks(df: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -> DataFrame:
+    """``df`` written once with ``__c``, the number of its chunk: rows in the order of (keys, order) are cut into ranges of about
+    as many rows as a shuffle partition takes, or ``chunk`` where that is less than the default.
+
+    Within a group a later chunk holds later rows; a large group spans several chunks and small ones share one.
+    """
+    by = [F.col(c).asc() for c in (*keys, order)]
+    if chunk >= CHUNK:
+        dealt = df.repartitionByRange(*by)
+    else:
+        dealt = df.repartitionByRange(max(1, -(-df.count() // chunk)), *by)
+    return materialize(dealt.withColumn("__c", F.spark_partition_id()), "chunks")
+
+
 def number_in_group(df: DataFrame, keys: list[str], order: str, out: str,
                     bound: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Dense 1..n per group by a unique integer ``order`` column."""
     if _fits(bound, chunk):
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    cut = materialize(df.withColumn("__c", F.floor(F.col(order) / chunk)), "chunks")
+    cut = rank_chunks(df, keys, order, chunk)
     counts = cut.groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.sum("__n").over(before)).where("__off > 0").drop("__n")
@@ -126,7 +140,7 @@ def lag_in_group(df: DataFrame, keys: list[str], pos: str, cols: dict[str, str],
     if _fits(bound, chunk):
         w = Window.partitionBy(*keys).orderBy(pos)
         return df.withColumns({o: F.lag(c).over(w) for o, c in cols.items()})
-    cut = materialize(df.withColumn("__c", F.floor(F.col(pos) / chunk)), "chunks")
+    cut = rank_chunks(df, keys, pos, chunk)
     last = cut.groupBy(*keys, "__c").agg(
         F.max_by(F.struct(*[F.col(c).alias(o) for o, c in cols.items()]), F.col(pos)).alias("__last"))
     carry = (last.withColumn("__prev", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__c")))
@@ -146,8 +160,7 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column
     if _fits(bound, chunk):
         w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: F.sum(c).over(w) for o, c in sums.items()})
-    cut = materialize(df.withColumns({"__c": F.floor(F.col(pos) / chunk),
-                                      **{f"__v_{o}": c for o, c in sums.items()}}), "chunks")
+    cut = rank_chunks(df.withColumns({f"__v_{o}": c for o, c in sums.items()}), keys, pos, chunk)
     totals = cut.groupBy(*keys, "__c").agg(*[F.sum(f"__v_{o}").alias(f"__t_{o}") for o in sums])
     before = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("__c"))
@@ -161,6 +174,31 @@ def running_sum(df: DataFrame, keys: list[str], pos: str, sums: dict[str, Column
     }).drop("__c", *[f"{p}{o}" for o in sums for p in ("__v_", "__s_", "__b_")])
 
 
+def clipped_sum(df: DataFrame, keys: list[str], pos: str, step: Column, out: str, chunk: int = CHUNK) -> DataFrame:
+    """Adds ``out``, the state after each row of x' = min(0, x + step), from 0, and ``{out}_before``, the state before it, per group
+    ordered by unique ``pos``.
+
+    A segment's effect on the state is x -> min(c, x + s); two such compose to min(min(c2, c1 + s2), x + s1 + s2), so a chunk is
+    summed up in two numbers whatever its length.  With P the sums of steps inside a segment, c is s - max P and the state after a
+    row is P - max(-x, max P so far).  There is one path: chunks by rank, a prefix over their summaries, then the rows.
+    """
+    cut = rank_chunks(df.withColumn("__s", step), keys, pos, chunk)
+    rows = Window.partitionBy(*keys, "__c").orderBy(pos)
+    upto = rows.rowsBetween(Window.unboundedPreceding, 0)
+    inner = cut.withColumn("__p", F.sum("__s").over(upto))
+    parts = inner.groupBy(*keys, "__c").agg(F.sum("__s").alias("__t"), F.max("__p").alias("__m"))
+    # At most one row per chunk that the group crosses.
+    over = Window.partitionBy(*keys).orderBy("__c")
+    so_far = over.rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("__sum", F.sum("__t").over(so_far))
+    after = F.col("__sum") + F.least(F.lit(0.0), F.min(F.col("__t") - F.col("__m") - F.col("__sum")).over(so_far))
+    parts = parts.withColumn("__x", after).withColumn("__in", F.lag("__x").over(over)).where("__in IS NOT NULL")
+    joined = _left_null_safe(inner, parts.select(*keys, "__c", "__in"), [*keys, "__c"]).withColumn("__in", F.coalesce("__in", F.lit(0.0)))
+    state = F.col("__p") - F.greatest(-F.col("__in"), F.max("__p").over(upto))
+    done = joined.withColumn(out, state)
+    return done.withColumn(f"{out}_before", F.coalesce(F.lag(out).over(rows), F.col("__in"))).drop("__s", "__p", "__in", "__c")
+
+
 def _left_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     renamed = right
     for k in keys:

@@ -61,3 +61,24 @@ def test_set_digest_ignores_order_and_tells_sets_apart(spark):
     df = spark.createDataFrame([(1, 5), (1, 7), (2, 7), (2, 5), (3, 5), (4, None)], "k int, m int")
     got = {r.k: (r.set_size, r.set_h1, r.set_h2) for r in df.groupBy("k").agg(*C.set_digest(F.col("m"))).collect()}
     assert got[1] == got[2] != got[3] and got[4][0] == 0
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 7, C.CHUNK])
+def test_clipped_sum_matches_the_loop(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(g, p * 10 ** 6, round(rng.uniform(-2, 2), 3)) for g, n in ((1, 40), (2, 1), (None, 7), (3, 15)) for p in rng.sample(range(10 ** 6), n)]
+    df = spark.createDataFrame(rows, "g int, p long, s double").repartition(3)
+    got = {(r.g, r.p): (r.x, r.x_before) for r in C.clipped_sum(df, ["g"], "p", F.col("s"), "x", chunk).collect()}
+    assert len(got) == len(rows)
+    for g in (1, 2, 3, None):
+        x = 0.0
+        for _, p, s in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            before, x = x, min(0.0, x + s)
+            assert got[g, p] == pytest.approx((x, before), abs=1e-9)
+
+
+def test_chunks_are_cut_by_rank(spark):
+    """Sparse positions do not make one chunk a row."""
+    df = spark.range(1000).selectExpr("0 AS g", "id * 1000000007 AS p")
+    sizes = [r["count"] for r in C.rank_chunks(df, ["g"], "p", 100).groupBy("__c").count().collect()]
+    assert len(sizes) <= 12 and max(sizes) <= 400

@@ -7,6 +7,8 @@ keys), never in row order, so no global sort is forced on the caller.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -507,27 +509,62 @@ def _grams(text: Column, n: int) -> Column:
         F.sequence(F.lit(1), F.char_length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))))
 
 
-def substring_matches(values: DataFrame, queries: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class NameIndex:
+    """Runs of one to three characters of all names of a table, written once and kept with the snapshot.
+
+    keys (key, field, value), grams (field, gram, value_id), frequency (field, gram, df) and values (field, value_id, value).
+    """
+
+    keys: DataFrame
+    values: DataFrame
+    grams: DataFrame
+    frequency: DataFrame
+
+
+def name_index(keys: DataFrame) -> NameIndex:
+    """The index of ``keys(key, field, value)``; null and empty values are in it nowhere."""
+    kept = C.materialize(keys.where("value IS NOT NULL AND value <> ''"), "names")
+    values = C.materialize(kept.select("field", F.xxhash64("value").alias("value_id"), "value").distinct(), "name-values")
+    grams = values.select("field", "value_id", F.explode(F.array_distinct(F.concat(
+        *[F.coalesce(_grams(F.col("value"), n), F.array().cast("array<string>")) for n in (1, 2, 3)]))).alias("gram"))
+    grams = C.materialize(grams.repartitionByRange("field", "gram").sortWithinPartitions("field", "gram"), "name-grams")
+    return NameIndex(kept, values, grams, C.materialize(grams.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("df")), "gram-frequency"))
+
+
+def station_names(net: Network) -> DataFrame:
+    """key, field, value: the searched names of active stations on active lines."""
+    stations = (active(net.stations).withColumn("station_name_rn_lower", F.lower("station_name_rn"))
+                .join(active_lines(net).select("line_cd"), "line_cd", "left_semi"))
+    return stations.select(F.col("station_cd").alias("key"), F.explode(F.create_map(
+        *[x for f in _STATION_FIELDS for x in (F.lit(f), F.col(f))])).alias("field", "value"))
+
+
+def line_names(net: Network) -> DataFrame:
+    return active_lines(net).select(F.col("line_cd").alias("key"), F.explode(F.create_map(
+        *[x for f in _LINE_FIELDS for x in (F.lit(f), F.col(f))])).alias("field", "value"))
+
+
+def with_names(net: Network) -> Network:
+    """The snapshot with its name indexes, which the searches then read instead of all names."""
+    return net.with_tables(names={"stations": name_index(station_names(net)), "lines": name_index(line_names(net))})
+
+
+def substring_matches(index: NameIndex, queries: DataFrame) -> DataFrame:
     """Pairs (field, value, needle) with ``value`` containing ``needle``, per field.
 
-    ``values(field, value)`` and ``queries(field, needle)`` are distinct.  A needle is looked
-    up by its rarest run of up to three characters, so the comparison is an equi-join plus
-    an exact check instead of every needle against every value.
+    ``queries(field, needle)`` is distinct.  A needle is looked up by its rarest run of up to three characters, so the
+    comparison is an equi-join plus an exact check instead of every needle against every value.
     """
     needles = queries.where(F.char_length("needle") > 0)
     size = F.least(F.char_length("needle"), F.lit(3))
     runs = needles.select("field", "needle", F.explode(F.when(size == 1, _grams(F.col("needle"), 1))
                                                        .when(size == 2, _grams(F.col("needle"), 2))
                                                        .otherwise(_grams(F.col("needle"), 3))).alias("gram"))
-    # Only runs that occur in some needle are of interest, so the index is cut to them first.
-    index = values.select("field", "value", F.explode(F.array_distinct(F.concat(
-        *[F.coalesce(_grams(F.col("value"), n), F.array().cast("array<string>")) for n in (1, 2, 3)]
-    ))).alias("gram")).join(runs.select("field", "gram").distinct(), ["field", "gram"], "left_semi")
-    frequency = index.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("df"))
     # A run absent from the index means no value can contain the needle.
-    scored = runs.join(frequency, ["field", "gram"], "left").na.fill({"df": 0})
+    scored = runs.join(index.frequency, ["field", "gram"], "left").na.fill({"df": 0})
     rarest = C.first_by(scored, ["field", "needle"], [F.col("df"), F.col("gram")]).where("df > 0").drop("df")
-    return (rarest.join(index, ["field", "gram"])
+    return (rarest.join(index.grams, ["field", "gram"]).join(index.values, ["field", "value_id"])
             .where(F.contains(F.col("value"), F.col("needle")))
             .select("field", "value", "needle"))
 
@@ -550,16 +587,11 @@ def search_stations(net: Network, req: DataFrame) -> DataFrame:
             F.lit("station_name_zh"), F.col("name"),
             F.lit("station_name_ko"), F.col("name"))).alias("field", "needle")
     ).where("name <> ''").distinct()
-    stations = (active(net.stations)
-                .withColumn("station_name_rn_lower", F.lower("station_name_rn"))
-                .join(active_lines(net).select("line_cd"), "line_cd", "left_semi"))
-    by_field = stations.select(
-        "station_cd", F.explode(F.create_map(*[x for f in _STATION_FIELDS for x in (F.lit(f), F.col(f))]))
-        .alias("field", "value")).where("value is not null and value <> ''")
-    pairs = substring_matches(by_field.select("field", "value").distinct(),
-                              needles.select("field", "needle").distinct())
+    index = net.names["stations"] if net.names else name_index(station_names(net))
+    pairs = substring_matches(index, needles.select("field", "needle").distinct())
     hits = (needles.join(pairs, ["field", "needle"]).select("name", "field", "value").distinct()
-            .join(by_field, ["field", "value"]).select("name", "station_cd").distinct())
+            .join(index.keys.withColumnRenamed("key", "station_cd"), ["field", "value"]).select("name", "station_cd").distinct())
+    stations = active(net.stations).join(active_lines(net).select("line_cd"), "line_cd", "left_semi")
     keys = stations.select("station_cd", "station_g_cd", "station_name", "line_cd", "transport_type")
     found = _filter_transport(req.join(hits, "name").join(keys, "station_cd"))
     if "from_group" in req.columns:
@@ -611,20 +643,19 @@ def search_lines(net: Network, req: DataFrame) -> DataFrame:
     """Active lines containing the normalised query in any of five name columns, in
     ``line_cd`` order; the limit defaults to one. ``req(req_id, name, limit?)``."""
     lines = active_lines(net)
-    by_field = lines.select(
-        "line_cd", F.explode(F.create_map(*[x for f in _LINE_FIELDS for x in (F.lit(f), F.col(f))]))
-        .alias("field", "value")).where("value is not null")
+    index = net.names["lines"] if net.names else name_index(line_names(net))
     asked = req.withColumn("needle", normalize_for_search(F.col("name")))
     fields = F.explode(F.array(*[F.lit(f) for f in _LINE_FIELDS])).alias("field")
-    pairs = substring_matches(by_field.where("value <> ''").select("field", "value").distinct(),
-                              asked.select("needle", fields).distinct())
-    hits = pairs.join(by_field, ["field", "value"]).select("needle", "line_cd").distinct()
+    pairs = substring_matches(index, asked.select("needle", fields).distinct())
+    hits = pairs.join(index.keys.withColumnRenamed("key", "line_cd"), ["field", "value"]).select("needle", "line_cd").distinct()
     # Hits are ranked once for each needle; requests then take theirs by rank.
     w = Window.partitionBy("needle").orderBy("line_cd")
     ranked = hits.withColumn("rank", F.row_number().over(w).cast("bigint"))
     limit = F.coalesce(F.col("limit"), F.lit(1)) if "limit" in req.columns else F.lit(1)
     found = asked.join(ranked, "needle").where(F.col("rank") <= limit)
-    return found.unionByName(_blank_line_queries(lines, asked)).join(lines, "line_cd").drop("needle")
+    if not asked.where("needle = ''").isEmpty():  # only a blank query needs all lines numbered
+        found = found.unionByName(_blank_line_queries(lines, asked))
+    return found.join(lines, "line_cd").drop("needle")
 
 
 def _blank_line_queries(lines: DataFrame, asked: DataFrame) -> DataFrame:

@@ -126,6 +126,8 @@ class Network:
     bounds: dict[str, int] | None = None
     #: The cell tree of the stations (``operators.spatial.with_tree``); nearest joins build one where it is missing.
     tree: object | None = None
+    #: Name indexes by table (``operators.lookup.with_names``); searches build one where they are missing.
+    names: dict | None = None
 
     @property
     def sst(self) -> DataFrame:

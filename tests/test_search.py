@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from netloom.operators import lookup as L
@@ -6,8 +7,8 @@ from netloom.operators import lookup as L
 def test_substrings_match_exactly(spark):
     values = [("f", v) for v in ["東京", "京都", "東京駅前", "aab", "abab", "ab%c_", "x"]]
     needles = [("f", n) for n in ["東京", "京", "ab", "aba", "%", "_", "zz", "東京駅前"]] + [("g", "x")]
-    got = {(r.value, r.needle) for r in L.substring_matches(
-        spark.createDataFrame(values, "field string, value string"), spark.createDataFrame(needles, "field string, needle string")).collect()}
+    index = L.name_index(spark.createDataFrame([(i, f, v) for i, (f, v) in enumerate([*values, ("f", ""), ("f", None)])], "key int, field string, value string"))
+    got = {(r.value, r.needle) for r in L.substring_matches(index, spark.createDataFrame(needles, "field string, needle string")).collect()}
     assert got == {(v, n) for f, v in values for g, n in needles if f == g and n in v}
 
 
@@ -19,6 +20,17 @@ def test_line_search_limits_and_blank_query(spark, make_network):
     assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (3, 1, 1), (3, 2, 2), (4, 1, 3)]
 
 
+def test_a_kept_index_is_all_a_search_reads(spark, make_network, monkeypatch):
+    net = make_network(lines=[dict(line_cd=k, line_name=v, e_status=0) for k, v in {1: "Loop", 2: "Loop East", 3: "Main"}.items()],
+                       stations=[dict(station_cd=10 + k, station_g_cd=k, line_cd=k, station_name=f"Stop {k}", e_status=0) for k in (1, 2, 3)])
+    kept = L.with_names(net)
+    req = spark.createDataFrame([(1, "Stop"), (2, "2"), (3, "none")], "req_id int, name string")
+    want = sorted((r.req_id, r.station_cd) for r in L.search_stations(net, req).collect())
+    monkeypatch.setattr(L, "name_index", lambda keys: pytest.fail("built again"))
+    assert sorted((r.req_id, r.station_cd) for r in L.search_stations(kept, req).collect()) == want == [(1, 11), (1, 12), (1, 13), (2, 12)]
+    assert [r.line_cd for r in L.search_lines(kept, spark.createDataFrame([(1, "East", 1)], "req_id int, name string, limit int")).collect()] == [2]
+
+
 def test_unanswerable_requests_are_split_off(spark):
     req = spark.createDataFrame([(1, 5, 3), (2, -1, 3), (3, 2, None), (4, 1, -9)], "req_id int, id int, limit int")
     ok, bad = L.validate_requests(req, ["id", "limit"])

@@ -143,12 +143,14 @@ def leaves_in_reach(tree: CellTree, asks: DataFrame) -> DataFrame:
         below = tree.nodes.where(F.col("level") == level).select(
             "kind", F.expr(f"shiftright(cx, {STEP})").alias("px"), F.expr(f"shiftright(cy, {STEP})").alias("py"),
             F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("n").alias("m"), F.col("leaf").alias("is_leaf"))
-        inner = held.where(f"level = {level - STEP} AND NOT leaf").select(
-            "ask_id", "kind", "k", "qlat", "qlon", F.col("cx").alias("px"), F.col("cy").alias("py"))
-        down = inner.join(below, ["kind", "px", "py"]).select(
-            "ask_id", "kind", "k", "qlat", "qlon", F.lit(level).alias("level"), F.col("x").alias("cx"), F.col("y").alias("cy"),
-            F.col("m").alias("n"), F.col("is_leaf").alias("leaf"))
-        held = _needed(held.where("leaf").drop("reach").unionByName(down))
+        # Leaves stay as they are (no cell has a negative place); one reference to the cells held keeps the plan linear in the levels.
+        keyed = held.drop("reach").withColumns({"px": F.when(F.col("leaf"), -1 - F.col("cx")).otherwise(F.col("cx")),
+                                                "py": F.when(F.col("leaf"), -1 - F.col("cy")).otherwise(F.col("cy"))})
+        own = F.col("leaf")
+        held = _needed(keyed.join(below, ["kind", "px", "py"], "left").select(
+            "ask_id", "kind", "k", "qlat", "qlon", F.when(own, F.col("level")).otherwise(F.lit(level)).alias("level"),
+            F.when(own, F.col("cx")).otherwise(F.col("x")).alias("cx"), F.when(own, F.col("cy")).otherwise(F.col("y")).alias("cy"),
+            F.when(own, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(own, own).otherwise(F.col("is_leaf")).alias("leaf")))
     return held.drop("n", "leaf")
 
 

@@ -35,7 +35,8 @@ WINDOW = 6
 #: Letters of a stem; the word it begins is longer.
 STEM = range(4, 8)
 _WORD = re.compile(r"\w+")
-_QUOTED = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|„[^“”\n]{1,400}[“”]|«[^»\n]{1,400}»|»[^«\n]{1,400}«")
+_LETTER = re.compile(r"\w")
+_MARK = re.compile("[\"“”„«»]")
 # Words that report speech or name a word, and words that address someone.
 REPORTING = frozenset("said says say called calls call word words term quote quoted quotes wrote writes slur insult insults "
                       "sagte sagt nannte nennt wort begriff zitat schrieb dit disait appelle mot terme citation "
@@ -58,6 +59,40 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Stretches between paired quotation marks of the whole text, in order and apart, of any length and over line ends.
+
+    A straight mark opens before and closes behind a character that is not white space, and does neither inside a
+    word or number; where it may do both, it closes what is open.  Curly and angle marks close what their counterpart
+    opened.  An opening mark that meets another of its family before its end is dropped: a stray mark quotes nothing.
+    """
+    opened: dict[str, tuple[str, int]] = {}
+    found: list[tuple[int, int]] = []
+    for m in _MARK.finditer(text):
+        c, i = m[0], m.start()
+        before, after = text[i - 1:i], text[i + 1:i + 2]
+        family = "straight" if c == '"' else "angle" if c in "«»" else "curly"
+        mark, start = opened.get(family, ("", 0))
+        if family == "straight":
+            closes = bool(mark) and before.strip() != "" and not _LETTER.match(after)
+            opens = after.strip() != "" and not _LETTER.match(before)
+        elif family == "angle":
+            closes, opens = bool(mark) and mark != c, True
+        else:
+            closes = (mark + c) in ("“”", "„“", "„”")
+            opens = c != "”"
+        if closes:
+            del opened[family]
+            while found and found[-1][0] >= start:  # inside this one
+                found.pop()
+            if found and found[-1][1] > start:  # of another family, crossing
+                start = found.pop()[0]
+            found.append((start, i + 1))
+        elif opens:
+            opened[family] = (c, i)
+    return found
+
+
 # ------------------------------------------------------------------------------ matching
 
 class Lexicon:
@@ -155,7 +190,7 @@ class Matcher:
         found = self.hits(set(_WORD.findall(low))) if text and (low := text.lower()) else {}
         if not found:
             return (0.0, 0.0, 0.0), [], 0
-        spans = [m.span() for m in _QUOTED.finditer(low)]
+        spans = quotations(low)
         words = list(_WORD.finditer(low))
         chances: dict[str, tuple[float, float]] = {}
         q = n_quoted = 0
@@ -310,8 +345,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
     """``docs`` plus ``out``: struct of score (0 to 1), hits (the words found, each once, in order), quoted (hits read
     as quotation) and the features.
 
-    Null and empty texts get the score of a text without hits.  Repeated rows are scored each; a column called ``out``
-    is replaced.  One pass over whole texts, no shuffle.
+    Null and empty texts get the score of a text without hits, texts of any length are read whole.  Repeated rows are
+    scored each; a column called ``out`` is replaced.  One pass over the texts, no shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

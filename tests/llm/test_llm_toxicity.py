@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 
@@ -41,6 +43,56 @@ def test_quotation_and_abuse():
     assert matcher.read(None)[1] == matcher.read("")[1] == matcher.read("nice day")[1] == []
 
 
+def test_quotations_of_any_length_and_over_lines():
+    cut = lambda t: [t[a:b] for a, b in toxicity.quotations(t)]
+    assert cut('a "b c" d "e\nf" g') == ['"b c"', '"e\nf"']
+    long = '"' + "far too long\n" * 500 + 'x."'
+    assert cut("he wrote: " + long + " and left") == [long]
+    assert cut('a 5" pipe, 6" wide, he said "so"') == ['"so"']
+    assert cut('a "stray mark and (“two” or „drei“ or „vier”) «cinq» »sechs« "sept"') == ["“two”", "„drei“", "„vier”", "«cinq»", "»sechs«", '"sept"']
+    assert cut('"a “b” c" d') == ['"a “b” c"'] and cut('"a “b" c” d') == ['"a “b" c”'] and cut('“a «b» "c" d” e') == ['“a «b» "c" d”']
+    assert cut("") == cut('"') == cut('" "') == cut("”x“") == []
+    matcher = Matcher(Model(terms={"moron": 0.9}))
+    assert matcher.read('It reads "' + "word after word " * 50 + "a moron here " + "and on " * 99 + 'end"')[2] == 1
+
+
+def plain_read(text, model):
+    """As ``Matcher.read``, each word held against every term and every pair of marks by itself."""
+    words = [(m.start(), m[0]) for m in re.finditer(r"\w+", text.lower())]
+    chances = {}
+    for i, (at, w) in enumerate(words):
+        close = [t for t in model.terms if len(t) >= 5 and distance(t, w) == 1]
+        begun = [c for t, c in model.stems.items() if w.startswith(t) and len(w) > len(t)]
+        if w in model.terms:
+            kind, chance = "term", model.terms[w]
+        elif begun:
+            kind, chance = "stem", max(begun)
+        elif close:
+            kind, chance = "term", model.variants.get(w, model.other)
+        else:
+            continue
+        near = {x for _, x in words[max(0, i - toxicity.WINDOW):i + toxicity.WINDOW + 1]}
+        inside = any(a <= at < b for a, b in toxicity.quotations(text.lower()))
+        quoted = (inside or bool(near & toxicity.REPORTING)) and not near & toxicity.ADDRESS
+        old = chances.setdefault(w, [kind, 0.0, 0.0])
+        old[1 + (not quoted)] = max(old[1 + (not quoted)], chance)
+    total = [sum(c[2] for c in chances.values() if c[0] == k) for k in ("term", "stem")]
+    total.append(sum(c[1] for c in chances.values() if not c[2]))
+    return [math.log1p(x) for x in total], list(chances)
+
+
+def test_score_equals_plain_version(spark):
+    rng = random.Random(8)
+    model = Model({"gorblat": 0.9, "fizmuck": 0.8, "zyx": 0.7}, {"dunk": 0.75, "dunkel": 0.6}, {"gorbla": 0.3}, 0.4, (-2.0, 3.0, 2.0, -1.0))
+    bits = ["gorblat", "fizmuk", "Gorbla", "zyx", "zy", "dunkelig", "dunk", '"', '"so', 'so"', "“", "”", "said", "you", "\n", "fizmucks"] + ["on", "er", "an"] * 8
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in toxicity.score(df, model).collect():
+        features, hits = plain_read(r.text, model)
+        assert r.toxicity.hits == hits and r.toxicity.features == pytest.approx(features)
+        assert r.toxicity.score == pytest.approx(1 / (1 + math.exp(2 - 3 * features[0] - 2 * features[1] + features[2])))
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = random.Random(4)

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import itertools
 import json
 import uuid
 import zlib
@@ -194,6 +196,24 @@ def _parse(rec: bytes) -> tuple:
             int(http["content-length"]), payload if head["warc-type"] == "response" else None)
 
 
+def read_index(done: DataFrame, folder: str) -> DataFrame:
+    """Entries of the sidecars that ``done`` (index) names, in columns ``INDEX``.  Tasks open them, so neither their paths
+    nor their lines pass through the driver, and sidecars that a lost attempt left in the folder are not read."""
+    names = [x.split()[0] for x in INDEX.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = _open(folder)
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with files.open_input_stream(path, compression=None) as side:
+                    lines = io.BufferedReader(side)
+                    while rows := [json.loads(x) for x in itertools.islice(lines, 10_000)]:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds)], names=names)
+
+    return arrow_map(done.select("index"), run, INDEX)
+
+
 def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Records of index entries (path, offset, length) in columns ``RECORD``.  Neighbouring entries are fetched as one
     range; each member is inflated by itself and its payload held against its digest."""
@@ -248,12 +268,7 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     raw = cut(write_monolithic(with_revisits(pages), f"{folder}/raw"), "archives")
     n = max(1, raw.count())
     done = cut(normalise(raw.repartition(n), f"{folder}/records"), "archives")
-    sides = [r["index"] for r in done.select("index").collect()]  # one path per archive
-    if not sides:
-        index = spark.createDataFrame([], INDEX)
-    else:
-        scheme = folder.partition("://")[0] + "://" if "://" in folder else ""
-        index = spark.read.schema(INDEX).json([scheme + x for x in sides]).repartitionByRange(2 * n, "path", "offset").sortWithinPartitions("path", "offset")
+    index = read_index(done, folder).repartitionByRange(2 * n, "path", "offset").sortWithinPartitions("path", "offset")
     found = read_records(index, folder, payloads=False)
     return found.select(page_number(F.col("id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
                         page_number(F.col("refers_to")).alias("refers_to"))

@@ -139,6 +139,15 @@ def wide_typed_stops(net: Network) -> DataFrame:
     return to_wide(net, active(net.stations), active_lines(net)).join(typed_patterns(net), "station_cd")
 
 
+def asked_rows(net: Network, wanted: DataFrame, key: str = "line_group_cd") -> Network:
+    """The network with only those pattern rows whose ``key`` is in ``wanted``.
+
+    Requests meet the narrow pattern rows first, so stations, lines and types are joined to what is asked for and not to all
+    patterns.  Patterns (or stations) stay whole; keys are made distinct before they meet the rows, however often one is asked.
+    """
+    return net.with_tables(station_station_types=net.sst.join(wanted.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi"))
+
+
 def measure_bounds(net: Network) -> dict[str, int]:
     """Sizes of the largest groups, measured once when a snapshot is taken."""
     return {
@@ -194,8 +203,10 @@ def stations_of_groups(net: Network, req: DataFrame) -> DataFrame:
 
 def stations_by_group(net: Network, req: DataFrame) -> DataFrame:
     """One row per pattern of each station; a station no pattern type resolves for stays."""
-    patterns = typed_patterns(net).drop("priority")
-    out = stations_of_groups(net, req).join(patterns, "station_cd", "left").withColumns({
+    hits = stations_of_groups(net, req)
+    here = (req.select("station_g_cd").distinct().join(active(net.stations).select("station_g_cd", "station_cd"), "station_g_cd"))
+    patterns = typed_patterns(asked_rows(net, here, "station_cd")).drop("priority")
+    out = hits.join(patterns, "station_cd", "left").withColumns({
         "stop_condition": F.coalesce("stop_condition", F.lit(0)),
         "has_train_types": F.coalesce("has_train_types", F.lit(False))})
     return _filter_transport(out)
@@ -239,9 +250,9 @@ def line_stations(net: Network, req: DataFrame) -> DataFrame:
     ``req(req_id, line_cd, station_cd?, direction?)``; the order of a request's rows is
     (sort_major, sort_minor).
     """
-    seeds = net.stations.select("station_cd", "line_cd")
+    seeds = net.stations.select("station_cd", "line_cd").join(req.select("line_cd").distinct(), "line_cd", "left_semi")
     qualifies = ((F.col("priority") > 0) & C.not_passing()) | F.col("kind").isin(0, 1)
-    candidates = (seeds.join(typed_patterns(net), "station_cd")
+    candidates = (seeds.join(typed_patterns(asked_rows(net, seeds, "station_cd")), "station_cd")
                   .where(qualifies & F.col("line_group_cd").isNotNull())
                   .select("line_cd", "station_cd", "priority", "sst_id", "line_group_cd"))
     order = [F.col("priority").desc(), F.col("station_cd"), F.col("sst_id")]
@@ -258,12 +269,13 @@ def line_stations(net: Network, req: DataFrame) -> DataFrame:
             .join(per_station.select("line_cd", F.col("station_cd").alias("want_station"), "line_group_cd"),
                   ["line_cd", "want_station"])))
     sign = F.when(F.col("reverse"), F.lit(-1)).otherwise(F.lit(1))
+    asked = asked_rows(net, target)
     typed = (target.select("req_id", "reverse", "line_group_cd")
-             .join(wide_typed_stops(net), "line_group_cd")
+             .join(wide_typed_stops(asked), "line_group_cd")
              .withColumns({"sort_major": sign * F.col("sst_id"), "sort_minor": F.lit(0).cast("bigint")}))
     # Requests answered by a pattern: decided on keys only, before wide rows are joined.
     answered = (target.select("req_id", "line_group_cd")
-                .join(typed_stops(net).select("line_group_cd").distinct(), "line_group_cd", "left_semi")
+                .join(typed_stops(asked).select("line_group_cd").distinct(), "line_group_cd", "left_semi")
                 .select("req_id"))
     rest = wants.join(answered, "req_id", "left_anti").drop("want_station")
     plain = (_with_first_group(net, rest.join(
@@ -282,7 +294,7 @@ def stations_by_line_group(net: Network, req: DataFrame) -> DataFrame:
     """
     wanted = (explode_ids(req, "line_group_cds", "line_group_cd")
               if "line_group_cds" in req.columns else req.withColumn("ordinal", F.lit(0)))
-    return _filter_transport(wanted.join(wide_typed_stops(net), "line_group_cd"))
+    return _filter_transport(wanted.join(wide_typed_stops(asked_rows(net, wanted)), "line_group_cd"))
 
 
 def stations_by_line_groups(net: Network, req: DataFrame) -> DataFrame:
@@ -290,7 +302,7 @@ def stations_by_line_groups(net: Network, req: DataFrame) -> DataFrame:
     station, the last pattern row winning."""
     stops = stations_by_line_group(net, req)
     wanted = explode_ids(req, "line_group_cds", "line_group_cd").select("req_id", "line_group_cd").distinct()
-    types = (wanted.join(train_type_stops(net), "line_group_cd")
+    types = (wanted.join(train_type_stops(asked_rows(net, wanted)), "line_group_cd")
              .groupBy("req_id", "station_cd")
              .agg(F.max_by(F.struct("sst_id", "type_cd", "line_group_cd"), F.col("sst_id")).alias("tt")))
     return stops.join(types, ["req_id", "station_cd"], "left").withColumns({
@@ -300,7 +312,7 @@ def stations_by_line_groups(net: Network, req: DataFrame) -> DataFrame:
 
 def pattern_stops(net: Network, req: DataFrame | None = None) -> DataFrame:
     """Narrow pattern stops for route search: pattern, row id, station group, pass."""
-    narrow = typed_stops(net).where("line_group_cd is not null").select(
+    narrow = typed_stops(net if req is None else asked_rows(net, req)).where("line_group_cd is not null").select(
         "line_group_cd", "sst_id", "station_cd", "station_g_cd", "pass")
     return narrow if req is None else req.join(narrow, "line_group_cd")
 
@@ -328,13 +340,16 @@ def _via_ok(df: DataFrame, via: str) -> DataFrame:
     return df.where(v.isNull() | (F.size(v) == 0) | F.array_contains(v, F.col("line_cd")))
 
 
-def route_stops(net: Network, req: DataFrame, wide: bool = True) -> DataFrame:
+def route_stops(net: Network, req: DataFrame, wide: bool = True, only: DataFrame | None = None) -> DataFrame:
     """All active stops of the patterns stopping in both groups, in ``sst_id`` order.
 
-    ``req(req_id, from_group, to_group, via_lines?)``.
+    ``req(req_id, from_group, to_group, via_lines?)``; ``only(req_id, line_group_cd)`` leaves other routes out.
     """
     shared = shared_patterns(net, req, "station_g_cd", "e_status = 0", "from_group", "to_group")
-    stops = wide_typed_stops(net) if wide else typed_stops(net).select(
+    if only is not None:
+        shared = shared.join(only, ["req_id", "line_group_cd"], "left_semi")
+    asked = asked_rows(net, shared)
+    stops = wide_typed_stops(asked) if wide else typed_stops(asked).select(
         "line_group_cd", "sst_id", "station_cd", "station_g_cd", "line_cd", "pass", "kind", "type_cd")
     return _via_ok(shared.join(stops, "line_group_cd"), "via_lines")
 
@@ -356,7 +371,7 @@ def route_stops_by_station(net: Network, req: DataFrame, include_untyped: bool =
     req = known_ends(net, req).withColumnRenamed("direction", "req_direction")
     shared = shared_patterns(net, req, "station_cd", None, "from_station", "to_station")
     sign = F.when(F.col("req_direction").eqNullSafe(F.lit(1)), F.lit(-1)).otherwise(F.lit(1))
-    typed = _via_ok(shared.join(wide_typed_stops(net), "line_group_cd"), "via_lines").withColumns({
+    typed = _via_ok(shared.join(wide_typed_stops(asked_rows(net, shared)), "line_group_cd"), "via_lines").withColumns({
         "part": F.lit(1), "sort_major": sign * F.col("sst_id"), "sort_minor": F.lit(0).cast("bigint")})
     if not include_untyped:
         return typed
@@ -432,14 +447,14 @@ def lines_by_line_group(net: Network, req: DataFrame) -> DataFrame:
     """
     wanted = (explode_ids(req, "line_group_cds", "line_group_cd")
               if "line_group_cds" in req.columns else req.withColumn("ordinal", F.lit(0)))
-    return _line_rows(net, wanted.join(pattern_line_stops(net), "line_group_cd"))
+    return _line_rows(net, wanted.join(pattern_line_stops(asked_rows(net, wanted)), "line_group_cd"))
 
 
 def lines_by_line_group_routes(net: Network, req: DataFrame) -> DataFrame:
     """As above, each (sst_id, line_cd) once per request; order is (sst_id, line_cd)."""
     wanted = (explode_ids(req, "line_group_cds", "line_group_cd") if "line_group_cds" in req.columns
               else req).select("req_id", "line_group_cd").distinct()
-    return _line_rows(net, wanted.join(pattern_line_stops(net), "line_group_cd"))
+    return _line_rows(net, wanted.join(pattern_line_stops(asked_rows(net, wanted)), "line_group_cd"))
 
 
 # --------------------------------------------------------------------------- train types
@@ -455,23 +470,23 @@ def train_types_by_station(net: Network, req: DataFrame) -> DataFrame:
     wanted = explode_ids(req, "station_cds", "station_cd")
     if "line_group_cd" in wanted.columns:
         wanted = wanted.withColumnRenamed("line_group_cd", "_want")
-        return (wanted.join(train_type_stops(net), "station_cd")
+        return (wanted.join(train_type_stops(asked_rows(net, wanted, "station_cd")), "station_cd")
                 .where("_want is null or line_group_cd = _want").drop("_want"))
-    return wanted.join(train_type_stops(net), "station_cd")
+    return wanted.join(train_type_stops(asked_rows(net, wanted, "station_cd")), "station_cd")
 
 
 def types_by_station_in_group(net: Network, req: DataFrame) -> DataFrame:
     """Types at stations within one pattern; order is (priority desc, sst_id); requests
     that name no pattern get nothing."""
     wanted = explode_ids(req.where("line_group_cd is not null"), "station_cds", "station_cd")
-    return wanted.join(train_type_stops(net), ["station_cd", "line_group_cd"])
+    return wanted.join(train_type_stops(asked_rows(net, wanted)), ["station_cd", "line_group_cd"])
 
 
 def train_types_by_line_group(net: Network, req: DataFrame) -> DataFrame:
     """Types of patterns, one row per served stop; order is sst_id."""
     wanted = (explode_ids(req, "line_group_cds", "line_group_cd") if "line_group_cds" in req.columns
               else req).select("req_id", "line_group_cd").distinct()
-    return wanted.join(train_type_stops(net), "line_group_cd")
+    return wanted.join(train_type_stops(asked_rows(net, wanted)), "line_group_cd")
 
 
 def pattern_encounters(net: Network) -> DataFrame:

@@ -34,15 +34,16 @@ def routes(net: Network, req: DataFrame) -> tuple[DataFrame, DataFrame]:
     the pattern does not serve that line; ``type_id`` is then NULL as well.  The line list
     takes the first served stop of every line.  ``req(req_id, from_group, to_group, via_lines?)``.
     """
-    stops = L.route_stops(net, req)
     ends = (L.route_stops(net, req, wide=False).groupBy("req_id", "line_group_cd")
             .agg(F.max(F.col("station_g_cd") == F.col("from_group")).alias("has_from"),
                  F.max(F.col("station_g_cd") == F.col("to_group")).alias("has_to"))
             .where("has_from and has_to").select("req_id", "line_group_cd"))
-    lines = pattern_lines(net)
+    # Decided on narrow rows and written once; wide columns are joined to the routes that remain.
+    ends = C.materialize(ends, "routes")
+    stops = L.route_stops(net, req, only=ends)
+    lines = pattern_lines(L.asked_rows(net, ends))
     last = lines.select("line_group_cd", "line_cd", F.col("last.station_cd").alias("tt_line_station"))
-    out = (stops.join(ends, ["req_id", "line_group_cd"], "left_semi")
-           .join(last, ["line_group_cd", "line_cd"], "left")
+    out = (stops.join(last, ["line_group_cd", "line_cd"], "left")
            .withColumn("type_id", F.when(F.col("tt_line_station").isNotNull(), F.col("type_id")))
            .withColumnRenamed("line_group_cd", "route_id"))
     route_lines = ends.join(lines, "line_group_cd").select(
@@ -77,7 +78,8 @@ def route_types(net: Network, req: DataFrame) -> tuple[DataFrame, DataFrame]:
     bound = net.bound("pattern")
     stops = L.route_stops(net, req, wide=False)
     wanted = stops.select("req_id", "line_group_cd").distinct()
-    types = wanted.join(L.train_type_stops(net), "line_group_cd")
+    asked = L.asked_rows(net, wanted)
+    types = wanted.join(L.train_type_stops(asked), "line_group_cd")
     first = C.first_by(types, ["req_id", "line_group_cd"], ["sst_id"])
     full = L.route_stops(net, req.drop("via_lines"), wide=False) if "via_lines" in req.columns else stops
     signed = first.join(segment_signatures(full, bound), ["req_id", "line_group_cd"], "left")
@@ -86,7 +88,7 @@ def route_types(net: Network, req: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Type shown on a line row: the request's last train type with the row's type code.
     by_code = (types.groupBy("req_id", "type_cd")
                .agg(F.max("sst_id").alias("line_type_sst")))
-    lines = (kept.select("req_id", "line_group_cd").join(pattern_lines(net), "line_group_cd")
+    lines = (kept.select("req_id", "line_group_cd").join(pattern_lines(asked), "line_group_cd")
              .select("req_id", "line_group_cd", "line_cd", F.col("first.sst_id").alias("line_ord"),
                      F.col("first.station_cd").alias("line_station"), F.col("first.type_cd").alias("type_cd"))
              .join(by_code, ["req_id", "type_cd"], "left"))

@@ -34,6 +34,8 @@ REVISIT = 1000
 CHUNK = 1 << 22
 #: Inflated bytes of one archive, about; a task goes on to another file beyond.
 ARCHIVE = 1 << 28
+#: Bytes of an archive whose records one task reads, about.
+STRETCH = 1 << 23
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:x-page:"
 
@@ -268,7 +270,9 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     raw = cut(write_monolithic(with_revisits(pages), f"{folder}/raw"), "archives")
     n = max(1, raw.count())
     done = cut(normalise(raw.repartition(n), f"{folder}/records"), "archives")
-    index = read_index(done, folder).repartitionByRange(2 * n, "path", "offset").sortWithinPartitions("path", "offset")
+    # Stretches of archives are dealt by hash: ranges would send a sample of all entries to the driver first.
+    stretch = F.floor(F.col("offset") / STRETCH)
+    index = read_index(done, folder).repartition(2 * n, "path", stretch).sortWithinPartitions("path", "offset")
     found = read_records(index, folder, payloads=False)
     return found.select(page_number(F.col("id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
                         page_number(F.col("refers_to")).alias("refers_to"))

@@ -82,3 +82,12 @@ def test_chunks_are_cut_by_rank(spark):
     df = spark.range(1000).selectExpr("0 AS g", "id * 1000000007 AS p")
     sizes = [r["count"] for r in C.rank_chunks(df, ["g"], "p", 100).groupBy("__c").count().collect()]
     assert len(sizes) <= 12 and max(sizes) <= 400
+
+
+def test_serial_ids_take_one_shuffle(spark):
+    df = spark.range(1000).selectExpr("id % 7 AS a", "id AS b", "id + 1 AS c")
+    out = C.assign_serial(df, ["a", "b"], "n", keep=["c"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["c", "n"] and "Window" not in plan and "Exchange" not in plan
+    want = [c for _, _, c in sorted((i % 7, i, i + 1) for i in range(1000))]
+    assert [r.c for r in out.orderBy("n").collect()] == want and {r.n for r in out.collect()} == set(range(1, 1001))

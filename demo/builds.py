@@ -252,7 +252,9 @@ def hash_codes(spark, sf):
 FROM g_routes WHERE route_id NOT LIKE 'other:%'""")
 def routes_to_lines(spark, sf):
     f = feed(spark, sf)
-    given = codes.allocate(f.routes, "route_id", ["ord"], codes.LINE_CODES, "line_cd")
+    # Routes of other operators get their codes after these and displace none.
+    known = f.routes.where(codes.company_for_route(F.col("route_id")).isNotNull())
+    given = codes.allocate(known, "route_id", ["ord"], codes.LINE_CODES, "line_cd")
     return B.routes_to_lines(f.routes, given).select("line_cd", "company_cd", "line_name", "line_name_r", "line_color_c")
 
 

@@ -36,3 +36,11 @@ def test_unanswerable_requests_are_split_off(spark):
     ok, bad = L.validate_requests(req, ["id", "limit"])
     assert sorted(r.req_id for r in ok.collect()) == [1, 3]
     assert {r.req_id: r.rejected_argument for r in bad.collect()} == {2: "id", 4: "limit"}
+
+
+def test_line_hits_beyond_every_limit_are_pruned_before_the_shuffle(spark, make_network):
+    net = make_network(lines=[dict(line_cd=k, line_name=f"Loop {k}", e_status=0) for k in range(9, 0, -1)])
+    out = L.search_lines(net, spark.createDataFrame([(1, "loop", 3), (2, "Loop", None), (3, "LOOP", 0), (4, "Loop", 20)], "req_id int, name string, limit int"))
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.req_id, r.rank, r.line_cd) for r in out.collect())
+    assert got == [(2, 1, 1), *((4, k, k) for k in range(1, 10))]

@@ -91,3 +91,9 @@ def test_serial_ids_take_one_shuffle(spark):
     assert out.columns == ["c", "n"] and "Window" not in plan and "Exchange" not in plan
     want = [c for _, _, c in sorted((i % 7, i, i + 1) for i in range(1000))]
     assert [r.c for r in out.orderBy("n").collect()] == want and {r.n for r in out.collect()} == set(range(1, 1001))
+
+
+def test_a_column_of_a_written_table_counts_by_its_rows_not_by_its_file(spark):
+    df = spark.range(100_000).selectExpr("xxhash64(id) AS id", *[f"'constant' AS s{i}" for i in range(10)])
+    size = C.materialize(df, "wide").select("id")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) >= 100_000 * 8

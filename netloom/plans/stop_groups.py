@@ -13,20 +13,10 @@ GROUP_RADIUS_M = 250.0
 
 def _pairs_within(spots: DataFrame, radius: float) -> DataFrame:
     """Ordered pairs of same-named spots within ``radius``: ``later`` and ``earlier`` ids."""
-    level = next(lv for lv in range(24, 0, -1) if geo.cell_size(lv) * 111_000.0 >= radius)
-    size, wrap = geo.cell_size(level), 1 << level
-    lat_r = geo.lat_reach(F.lit(radius))
-    lon_r = geo.lon_reach(F.col("lat"), F.lit(radius))
-    x0 = F.floor((F.col("lon") - lon_r + 180.0) / size)
-    x1 = F.least(F.floor((F.col("lon") + lon_r + 180.0) / size), x0 + (wrap - 1))
-    around = (spots.withColumn("_cy", F.explode(F.sequence(
-        F.floor((F.col("lat") - lat_r + 90.0) / size), F.floor((F.col("lat") + lat_r + 90.0) / size))))
-        .withColumn("_x", F.explode(F.sequence(x0, x1)))
-        .select("name", F.col("stop_id").alias("later"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
-                "_cy", F.pmod(F.col("_x"), F.lit(wrap)).alias("_cx")))
-    here = spots.select("name", F.col("stop_id").alias("earlier"), "lat", "lon",
-                        geo.cell_y(F.col("lat"), level).alias("_cy"), geo.cell_x(F.col("lon"), level).alias("_cx"))
-    return (around.join(here, ["name", "_cx", "_cy"]).where("earlier < later")
+    around = spots.select("name", F.col("stop_id").alias("later"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
+                          F.explode(geo.ball_cells(F.col("lat"), F.col("lon"), radius, around=True)).alias("_cell"))
+    here = spots.select("name", F.col("stop_id").alias("earlier"), "lat", "lon", geo.ball_cells(F.col("lat"), F.col("lon"), radius).alias("_cell"))
+    return (around.join(here, ["name", "_cell"]).where("earlier < later")
             .withColumn("metres", geo.haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")))
             .where(F.col("metres") <= radius).select("later", "earlier", "metres"))
 

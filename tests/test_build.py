@@ -84,6 +84,22 @@ def test_stop_groups_equal_greedy_clustering(spark):
     assert got == {k: 200_000_000 + fnv64(v) % 100_000_000 for k, v in want.items()}
 
 
+def test_stop_groups_at_and_beyond_the_pole_equal_all_pairs(spark):
+    rng = random.Random(5)
+    stops = [(f"p{i:02d}", "P", 89.994 + rng.randint(0, 12) * 0.001, rng.choice([-180.0, -90.0, 0.0, 45.0, 179.9, 540.0]), None) for i in range(40)]
+    # The same place, written as one does and as the generated feeds have it.
+    stops += [("q1", "Q", 85.0, -180.0, None), ("q2", "Q", 95.0, 0.0, None), ("q3", "Q", 125.0, 10.0, None), ("q4", "Q", 125.001, 10.0, None)]
+    df = spark.createDataFrame(stops, "stop_id string, stop_name string, stop_lat double, stop_lon double, parent_station string")
+    assert df.select(F.max(F.size(G.geo.ball_cells(F.col("stop_lat"), F.col("stop_lon"), 500.0, around=True)))).first()[0] <= 8
+    clusters = {"P": [], "Q": []}
+    for s in sorted(stops):
+        home = next((c for c in clusters[s[1]] if all(metres(s[2:4], o[2:4]) <= 250 for o in c)), None)
+        home.append(s) if home else clusters[s[1]].append([s])
+    want = {s[0]: 200_000_000 + fnv64(c[0][0]) % 100_000_000 for name in clusters for c in clusters[name] for s in c}
+    assert len(clusters["Q"]) == 2
+    assert {r.stop_id: r.station_g_cd for r in G.stop_groups(df).collect()} == want
+
+
 def feed_frames(spark, trips, parents=None):
     """trips: (trip, route, direction, shape, [(seq, stop, dist)])."""
     parents = parents or {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from netloom.operators import common as C
 from netloom.operators import integrity as I
 from netloom.plans import patterns as P
 from netloom.plans.stop_groups import stop_groups
-from netloom.plans.stop_order import stop_route_order
-from netloom.schema import BUS, COLUMNS, RAIL, Network
+from netloom.plans.stop_order import stop_route_order, trip_rows
+from netloom.schema import BUS, COLUMNS, RAIL, DeferredNetwork, Network
 
 # Fixed values of the build.
 DEFAULT_TYPE, LOCAL_TYPE = 100, 101
@@ -131,10 +132,14 @@ def stops_to_stations(pairs: DataFrame, groups: DataFrame, line_codes: DataFrame
                     F.lit(BUS).alias("transport_type"), "ord"))
 
 
+def known_routes(routes: DataFrame) -> DataFrame:
+    """Routes of known operators with their place in the source."""
+    return routes.where(codes.company_for_route(F.col("route_id")).isNotNull()).select("route_id", F.col("ord").alias("_o"))
+
+
 def allocate_line_codes(routes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Routes of known operators in source order, then any other visited route by stop."""
-    known = routes.where(codes.company_for_route(F.col("route_id")).isNotNull()).select(
-        "route_id", F.lit(0).alias("_src"), F.col("ord").alias("_o"))
+    known = known_routes(routes).select("route_id", F.lit(0).alias("_src"), "_o")
     other = pairs.groupBy("route_id").agg(F.min("ord").alias("_o")).select("route_id", F.lit(1).alias("_src"), "_o")
     return codes.allocate(known.unionByName(other), "route_id", ["_src", "_o", "route_id"],
                           codes.LINE_CODES, "line_cd")
@@ -163,44 +168,86 @@ def _append(existing: DataFrame, added: DataFrame, table: str) -> DataFrame:
                                 allowMissingColumns=True)
 
 
+class _FeedParts:
+    """What a cleaned feed adds to a network; each part is made once, when a table that needs it is first read.
+
+    The lines need codes of known operators' routes only, which come first and are displaced by none; codes of stations need the stops
+    a route visits, not their order.
+    """
+
+    _ORDERING = ["route_id", "neg_count", "shape_id"]
+
+    def __init__(self, net: Network, feed: Feed, chunk: int) -> None:
+        self.net, self.feed, self.chunk = net, feed, chunk
+
+    @cached_property
+    def visits(self) -> DataFrame:
+        """Physical stops with the routes that visit them."""
+        rows = trip_rows(self.feed.stop_times, self.feed.trips, self.feed.stops)
+        return C.materialize(stops_on_routes(self.feed.stops, rows.select("route_id", "parent").distinct()), "stop-routes")
+
+    @cached_property
+    def station_codes(self) -> DataFrame:
+        return C.materialize(_code_table(
+            self.visits.select("stop_id", "route_id", "ord"), "_text", F.concat_ws("-", "stop_id", "route_id"),
+            ["ord", "route_id"], codes.STATION_CODES, "station_cd").select("stop_id", "route_id", "station_cd"), "station-codes")
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        return C.materialize(P.service_patterns(self.feed.stop_times, self.feed.trips, self.feed.stops, self.feed.routes), "named-patterns")
+
+    def _pattern_codes(self, prefix: str, code_range: tuple[int, int], out: str) -> DataFrame:
+        text = F.concat(F.lit(prefix), "route_id", F.lit("-"), "shape_id")
+        given = _code_table(self.patterns.select(*self._ORDERING), "_text", text, self._ORDERING, code_range, out)
+        return C.materialize(given.select("route_id", "shape_id", out), "pattern-codes")
+
+    @cached_property
+    def type_codes(self) -> DataFrame:
+        return self._pattern_codes("type-", codes.TYPE_CODES, "type_cd")
+
+    @cached_property
+    def group_codes(self) -> DataFrame:
+        return self._pattern_codes("lg-", codes.LINE_GROUP_CODES, "line_group_cd")
+
+    def lines(self) -> DataFrame:
+        given = codes.allocate(known_routes(self.feed.routes), "route_id", ["_o", "route_id"], codes.LINE_CODES, "line_cd")
+        return _append(self.net.lines, routes_to_lines(self.feed.routes, given), "lines")
+
+    def stations(self) -> DataFrame:
+        feed = self.feed
+        order = C.materialize(stop_route_order(feed.stop_times, feed.trips, feed.stops, self.chunk), "stop-order")
+        line_codes = allocate_line_codes(feed.routes, self.visits)
+        return _append(self.net.stations, stops_to_stations(stops_on_routes(feed.stops, order), stop_groups(feed.stops),
+                                                            line_codes, self.station_codes), "stations")
+
+    def types(self) -> DataFrame:
+        new_types = patterns_to_types(self.patterns, self.type_codes)
+        old_types = self.net.types.withColumns({"_src": F.lit(0), "_o": F.col("id"), "route_id": F.lit(""),
+                                                "neg_count": F.lit(0).cast("bigint"), "shape_id": F.lit("")})
+        fresh = new_types.join(self.net.types.select("type_cd"), "type_cd", "left_anti").withColumns(
+            {"_src": F.lit(1), "_o": F.lit(0).cast("bigint"), "id": F.lit(None).cast("bigint")})
+        both = old_types.unionByName(fresh, allowMissingColumns=True).drop("id")
+        return C.assign_serial(both, ["_src", "_o", *self._ORDERING], "id").select(*[F.col(c).cast(t) for c, t in COLUMNS["types"]])
+
+    def pattern_rows(self) -> DataFrame:
+        stops = (P.pattern_stop_rows(self.patterns, self.feed.stop_times, self.feed.stops)
+                 .join(self.type_codes, ["route_id", "shape_id"]).join(self.group_codes, ["route_id", "shape_id"])
+                 .join(self.station_codes.withColumnRenamed("stop_id", "parent"), ["parent", "route_id"]))
+        old = self.net.sst.select("station_cd", "type_cd", "line_group_cd", "pass", F.lit(0).alias("_src"), F.col("id").alias("_o"),
+                                  F.lit("").alias("route_id"), F.lit(0).cast("bigint").alias("neg_count"), F.lit("").alias("shape_id"),
+                                  F.lit("").alias("parent"))
+        new = stops.select("station_cd", "type_cd", "line_group_cd", F.lit(0).alias("pass"), F.lit(1).alias("_src"),
+                           F.col("seq").cast("bigint").alias("_o"), "route_id", "neg_count", "shape_id", "parent")
+        return renumber_sst(old.unionByName(new), ["_src", "route_id", "neg_count", "shape_id", "_o", "parent"])
+
+
 def integrate_feed(net: Network, feed: Feed, chunk: int = C.CHUNK) -> Network:
-    """Add a cleaned feed's routes, stops and service patterns to the network."""
-    order = C.materialize(stop_route_order(feed.stop_times, feed.trips, feed.stops, chunk), "stop-order")
-    pairs = C.materialize(stops_on_routes(feed.stops, order), "stop-routes")
-    line_codes = C.materialize(allocate_line_codes(feed.routes, pairs), "line-codes")
-    station_codes = C.materialize(_code_table(
-        pairs.select("stop_id", "route_id", "ord"), "_text", F.concat_ws("-", "stop_id", "route_id"),
-        ["ord", "route_id"], codes.STATION_CODES, "station_cd").select("stop_id", "route_id", "station_cd"), "station-codes")
-    lines = _append(net.lines, routes_to_lines(feed.routes, line_codes), "lines")
-    stations = _append(net.stations, stops_to_stations(pairs, stop_groups(feed.stops), line_codes, station_codes), "stations")
-
-    patterns = C.materialize(P.service_patterns(feed.stop_times, feed.trips, feed.stops, feed.routes), "named-patterns")
-    keys = patterns.select("route_id", "neg_count", "shape_id")
-    ordering = ["route_id", "neg_count", "shape_id"]
-    type_codes = _code_table(keys, "_text", F.concat(F.lit("type-"), "route_id", F.lit("-"), "shape_id"), ordering,
-                             codes.TYPE_CODES, "type_cd").select("route_id", "shape_id", "type_cd")
-    group_codes = _code_table(keys, "_text", F.concat(F.lit("lg-"), "route_id", F.lit("-"), "shape_id"), ordering,
-                              codes.LINE_GROUP_CODES, "line_group_cd").select("route_id", "shape_id", "line_group_cd")
-    type_codes = C.materialize(type_codes, "type-codes")
-    new_types = patterns_to_types(patterns, type_codes)
-    old_types = net.types.withColumns({"_src": F.lit(0), "_o": F.col("id"), "route_id": F.lit(""),
-                                       "neg_count": F.lit(0).cast("bigint"), "shape_id": F.lit("")})
-    fresh = new_types.join(net.types.select("type_cd"), "type_cd", "left_anti").withColumns(
-        {"_src": F.lit(1), "_o": F.lit(0).cast("bigint"), "id": F.lit(None).cast("bigint")})
-    typed = dict(COLUMNS["types"])
-    types = C.assign_serial(old_types.unionByName(fresh).drop("id"), ["_src", "_o", *ordering], "id").select(
-        *[F.col(c).cast(t) for c, t in typed.items()])
-
-    stops = (P.pattern_stop_rows(patterns, feed.stop_times, feed.stops)
-             .join(type_codes, ["route_id", "shape_id"]).join(group_codes, ["route_id", "shape_id"])
-             .join(station_codes.withColumnRenamed("stop_id", "parent"), ["parent", "route_id"]))
-    old = net.sst.select("station_cd", "type_cd", "line_group_cd", "pass", F.lit(0).alias("_src"), F.col("id").alias("_o"),
-                         F.lit("").alias("route_id"), F.lit(0).cast("bigint").alias("neg_count"), F.lit("").alias("shape_id"),
-                         F.lit("").alias("parent"))
-    new = stops.select("station_cd", "type_cd", "line_group_cd", F.lit(0).alias("pass"), F.lit(1).alias("_src"),
-                       F.col("seq").cast("bigint").alias("_o"), "route_id", "neg_count", "shape_id", "parent")
-    sst = renumber_sst(old.unionByName(new), ["_src", "route_id", "neg_count", "shape_id", "_o", "parent"])
-    return net.with_tables(lines=lines, stations=stations, types=types, station_station_types=sst, bounds=None)
+    """Add a cleaned feed's routes, stops and service patterns to the network; a table is made when it is first read."""
+    parts = _FeedParts(net, feed, chunk)
+    makers = {name: lambda _, name=name: getattr(net, name) for name in COLUMNS}
+    makers |= {"lines": lambda _: parts.lines(), "stations": lambda _: parts.stations(), "types": lambda _: parts.types(),
+               "station_station_types": lambda _: parts.pattern_rows()}
+    return DeferredNetwork(makers, bounds=None, tree=None, names=None)
 
 
 def build_snapshot(net: Network, feed: Feed | None = None, chunk: int = C.CHUNK) -> Network:

@@ -91,9 +91,16 @@ def test_stop_groups_at_and_beyond_the_pole_equal_all_pairs(spark):
     stops += [("q1", "Q", 85.0, -180.0, None), ("q2", "Q", 95.0, 0.0, None), ("q3", "Q", 125.0, 10.0, None), ("q4", "Q", 125.001, 10.0, None)]
     df = spark.createDataFrame(stops, "stop_id string, stop_name string, stop_lat double, stop_lon double, parent_station string")
     assert df.select(F.max(F.size(G.geo.ball_cells(F.col("stop_lat"), F.col("stop_lon"), 500.0, around=True)))).first()[0] <= 8
+    def place(s):
+        la, lo = math.radians(s[2]), math.radians(s[3])
+        return math.cos(la) * math.cos(lo), math.cos(la) * math.sin(lo), math.sin(la)
+
+    def apart(s, o):
+        return 2 * 6371000.0 * math.asin(min(1.0, math.dist(place(s), place(o)) / 2))
+
     clusters = {"P": [], "Q": []}
     for s in sorted(stops):
-        home = next((c for c in clusters[s[1]] if all(metres(s[2:4], o[2:4]) <= 250 for o in c)), None)
+        home = next((c for c in clusters[s[1]] if all(apart(s, o) <= 250 for o in c)), None)
         home.append(s) if home else clusters[s[1]].append([s])
     want = {s[0]: 200_000_000 + fnv64(c[0][0]) % 100_000_000 for name in clusters for c in clusters[name] for s in c}
     assert len(clusters["Q"]) == 2
@@ -250,3 +257,28 @@ def test_virtual_services(make_network):
         station_station_types=[dict(id=1, station_cd=11, type_cd=101, line_group_cd=5, **{"pass": 0}), dict(id=2, station_cd=11, type_cd=100, line_group_cd=6, **{"pass": 0})])
     out = [tuple(r) for r in B.virtual_local_services(net).sst.orderBy("id").collect()]
     assert out[2:] == [(3, 11, 100, 1000000001, 0), (4, 12, 100, 1000000001, 0), (5, 21, 101, 1000099301, 0)]
+
+
+def test_an_integrated_feed_makes_only_what_is_read(spark, make_network):
+    trips = [("toei:t1", "toei:1", 0, "sh1", [(1, "s1", 0.0), (2, "s2", 1.0), (3, "s3", 2.0)]),
+             ("toei:t2", "toei:1", 1, "sh2", [(1, "s3", 0.0), (2, "s4", 1.0)]), ("x:t3", "x:9", 0, "sh3", [(1, "s2", 0.0), (2, "s5", 1.0)])]
+    times, trip_table, stops = feed_frames(spark, trips, {"s5": "s4"})
+    stops = stops.withColumns({"stop_lat": F.lit(35.0) + F.col("ord"), "stop_lon": F.lit(139.0), **{
+        c: F.lit(None).cast("string") for c in ("stop_name_k", "stop_name_zh", "stop_name_ko")}})
+    routes = spark.createDataFrame([("toei:1", "R1", None, None, 3, None, 1), ("x:9", "R9", None, None, 3, None, 2)],
+                                   "route_id string, route_short_name string, route_long_name string, route_long_name_r string, route_type int, route_color string, ord bigint")
+    trip_table = trip_table.withColumn("trip_headsign", F.lit(None).cast("string"))
+    net = make_network(lines=[{"line_cd": 7, "line_name": "old"}], types=[{"id": 1, "type_cd": 100}],
+                       station_station_types=[{"id": 1, "station_cd": 5, "type_cd": 100, "line_group_cd": 3, "pass": 1}])
+    unread = times.withColumn("stop_sequence", F.raise_error(F.lit("read")).cast("int"))
+    lines = B.integrate_feed(net, B.Feed(routes, stops, trip_table, unread)).lines
+    code = 100_000_000 + fnv64("toei:1") % 10_000_000
+    assert sorted((r.line_cd, r.line_name) for r in lines.collect()) == [(7, "old"), (code, "R1")]
+    whole = B.integrate_feed(net, B.Feed(routes, stops, trip_table, times))
+    pairs = [("s1", "toei:1"), ("s2", "toei:1"), ("s3", "toei:1"), ("s4", "toei:1"), ("s2", "x:9"), ("s4", "x:9")]
+    stations = {200_000_000 + fnv64(f"{s}-{r}") % 100_000_000: r for s, r in pairs}
+    assert {r.station_cd for r in whole.stations.collect()} == set(stations)
+    got = whole.sst.orderBy("id").collect()
+    assert [r.id for r in got] == list(range(1, len(got) + 1)) and got[0].station_cd == 5
+    assert {r.station_cd for r in got[1:]} <= set(stations)
+    assert {r.type_cd for r in got} == {r.type_cd for r in whole.types.collect()}

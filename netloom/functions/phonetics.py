@@ -119,7 +119,8 @@ def normalize_token(c: Column) -> Column:
     out = F.regexp_replace(c, r"\.+$", "")
     for chars, plain in LONG_VOWELS.items():
         out = F.regexp_replace(out, f"[{chars}]", plain)
-    return F.lower(out)
+    # Most words have nothing to replace.
+    return F.lower(F.when(c.rlike(rf"[{''.join(LONG_VOWELS)}]|\.+$"), out).otherwise(c))
 
 
 def digits_to_ipa(c: Column) -> Column:

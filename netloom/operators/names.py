@@ -172,11 +172,15 @@ def audit_pronunciation(names: DataFrame, dictionary: DataFrame, examples: int =
     ``names(ord, name_r)``; every occurrence counts.
     """
     trimmed = names.select("ord", F.trim("name_r").alias("name_r")).where("name_r <> ''")
-    # Words are counted per name under a digest, so long names are not shuffled with them.
-    tokens = trimmed.select("ord", F.md5(F.col("name_r").cast("binary")).alias("name_key"),
-                            F.explode(P.name_tokens(F.col("name_r"), camel_case=False)).alias("token"))
+    # Words are counted per name under a digest, so long names are not shuffled with them. The digest is taken before the words are
+    # spread, once a name and not once a word.
+    keyed = trimmed.select("ord", F.md5(F.col("name_r").cast("binary")).alias("name_key"),
+                           P.name_tokens(F.col("name_r"), camel_case=False).alias("tokens"))
+    tokens = keyed.select("ord", "name_key", F.explode("tokens").alias("token"))
     counted = (tokens.withColumn("token", P.normalize_token(F.col("token"))).where("token <> ''")
                .groupBy("token", "name_key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")))
+    # Read for the words and for their counts, so the names are cut into words once.
+    counted = C.materialize(counted, "words")
     parts = _word_parts(counted.select("token").distinct())
     sounds = resolve_words(parts.select("norm").distinct(), dictionary)
     silent = (parts.join(sounds, "norm").groupBy("token")

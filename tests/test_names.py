@@ -90,3 +90,17 @@ def test_audit(spark):
     names = spark.createDataFrame([(1, "Bqx Park"), (2, "Bqx"), (3, "Bqx Bqx"), (4, "Shibuya"), (5, "Zzq"), (6, "Bqx Shibuya"), (7, " ")], "ord int, name_r string")
     got = [tuple(r) for r in N.audit_pronunciation(names, N.english_words(spark)).orderBy("token").collect()]
     assert got == [("bqx", 5, ["Bqx", "Bqx Bqx", "Bqx Park"]), ("zzq", 1, ["Zzq"])]
+
+
+def test_audit_cuts_names_into_words_once(spark, monkeypatch):
+    written = []
+    real = N.C.materialize
+    monkeypatch.setattr(N.C, "materialize", lambda df, name: (written.append((name, df)), real(df, name))[1])
+    names = spark.createDataFrame([(1, "Qzx. Qzx Park"), (2, "Ōqzx")], "ord bigint, name_r string")
+    got = sorted((r.token, r["count"]) for r in N.audit_pronunciation(names, N.english_words(spark)).collect())
+    assert got == [("ouqzx", 1), ("qzx", 2)]
+    (words,), (bad,) = [d for n, d in written if n == "words"], [d for n, d in written if n == "silent-words"]
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("md5(")  # the digest is below the words, once a name
+    assert "Generate explode(regexp_extract_all" not in bad._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in bad._jdf.queryExecution().optimizedPlan().toString()

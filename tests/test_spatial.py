@@ -90,3 +90,32 @@ def test_crowded_spot_is_cut_before_the_join(spark, world):
                        spark.createDataFrame(asks, "ask_id int, kind int, qlat double, qlon double, k int"), 50) \
         ._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan
+
+
+def test_crowded_spots_meet_an_ask_with_no_more_points_than_it_lacks(spark, monkeypatch):
+    """Forty stops at each of fifty places: an ask for fifty is joined with some fifty, not with forty copies of fifty places."""
+    points = spark.createDataFrame([(100 * s + c, 0, 35.0 + s * 0.001, 139.0) for s in range(50) for c in range(40)],
+                                   "point_id int, kind int, lat double, lon double")
+    asks = spark.createDataFrame([(n, 0, 35.0 + n * 0.001, 139.0, 50) for n in range(20)], "ask_id int, kind int, qlat double, qlon double, k int")
+    ranked, real = [], S.C.top_by
+    monkeypatch.setattr(S.C, "top_by", lambda df, *rest: ranked.append(df) or real(df, *rest))
+    found = S.k_nearest(points, asks, 50)
+    assert max(r["count"] for r in ranked[-1].groupBy("ask_id").count().collect()) <= 70
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.ask_id, []).append((r.rank, r.point_id))
+    for n in range(20):
+        want = sorted((km((35.0 + n * 0.001, 139.0), (35.0 + s * 0.001, 139.0)), 100 * s + c) for s in range(50) for c in range(40))[:50]
+        assert [p for _, p in sorted(got[n])][:40] == [p for _, p in want][:40] and len(got[n]) == 50
+
+
+def test_groups_at_one_coordinate_share_a_search(spark, make_network, monkeypatch):
+    net = make_network(lines=[dict(line_cd=1, e_status=0), dict(line_cd=2, e_status=2)],
+                       stations=[dict(station_cd=i, station_g_cd=i, line_cd=1 + (i == 2), lat=35.0 + i * 0.01, lon=139.0, e_status=0, transport_type=1)
+                                 for i in range(1, 5)])
+    coords = spark.createDataFrame([(7, 35.0, 139.0), (8, 35.0, 139.0), (9, 36.0, 139.0)], "source_g_cd bigint, lat double, lon double")
+    asked, real = [], S.k_nearest
+    monkeypatch.setattr(S, "k_nearest", lambda points, asks, *rest: asked.append(asks.count()) or real(points, asks, *rest))
+    got = sorted((r.source_g_cd, r["rank"], r.stop_cd) for r in S.bus_stops_near(net, coords, 3).collect())
+    assert got == [(7, 1, 1), (7, 3, 3), (8, 1, 1), (8, 3, 3), (9, 1, 4), (9, 2, 3)]
+    assert asked == [2]

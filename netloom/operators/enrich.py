@@ -270,8 +270,8 @@ def station_train_types(net: Network, req: DataFrame) -> tuple[DataFrame, DataFr
     patterns = types.where(grouped).select("req_id", F.col("sst_id").alias("tt_id"), "line_group_cd")
     by_line = L.first_type_by_group_line(net).select(
         "line_group_cd", "line_cd", F.col("sst_id").alias("line_type_sst"))
-    pattern_lines = L._line_rows(net, L.pattern_line_stops(net)).withColumn("line_symbols", line_symbols())
-    lines = (patterns.join(pattern_lines.select(
-        "line_group_cd", "sst_id", "line_cd", "company_cd", "line_name", "line_symbols", "station_cd"), "line_group_cd")
-        .join(companies, "company_cd", "left").join(by_line, ["line_group_cd", "line_cd"], "left"))
-    return types, lines
+    # Everything a pattern's row carries is joined once a row, before the rows are repeated for each train type of a request.
+    pattern_lines = (L._line_rows(net, L.pattern_line_stops(net)).withColumn("line_symbols", line_symbols())
+                     .select("line_group_cd", "sst_id", "line_cd", "company_cd", "line_name", "line_symbols", "station_cd")
+                     .join(companies, "company_cd", "left").join(by_line, ["line_group_cd", "line_cd"], "left"))
+    return types, patterns.join(pattern_lines, "line_group_cd")

@@ -70,3 +70,16 @@ def test_null_and_unknown_keys(spark, net):
     req = spark.createDataFrame([(1, None), (2, 99), (3, 2)], "req_id int, line_group_cd bigint")
     assert {r.req_id for r in L.stations_by_line_group(net, req).collect()} == {3}
     assert L.asked_rows(net, req.limit(0)).sst.count() == 0
+
+
+def test_a_patterns_rows_are_complete_before_they_are_repeated(spark, make_network):
+    from netloom.operators import enrich as N
+    net = make_network(stations=[dict(station_cd=c, station_g_cd=c, line_cd=1, e_status=0) for c in (1, 2)],
+                       lines=[dict(line_cd=1, company_cd=3, line_name="a", e_status=0)], companies=[dict(company_cd=3, company_name="c")],
+                       types=[dict(id=1, type_cd=1, kind=0, priority=0)],
+                       station_station_types=[dict(id=i, station_cd=i, type_cd=1, line_group_cd=5) for i in (1, 2)])
+    _, lines = N.station_train_types(net, spark.createDataFrame([(7, 1), (8, 2), (9, 1)], "req_id bigint, station_cd bigint"))
+    got = sorted((r.req_id, r.tt_id, r.sst_id, r.company_name, r.line_type_sst) for r in lines.collect())
+    assert got == [(q, t, s, "c", 1) for q, t in ((7, 1), (8, 2), (9, 1)) for s in (1, 2)]
+    joins = [x for x in lines._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in x]
+    assert "Join Inner" in joins[0]  # the last join is the one with the requests' train types

@@ -125,19 +125,20 @@ def joined_pronunciation(segments: DataFrame) -> DataFrame:
     return segments.groupBy("name_k", "name_r").agg(F.nullif(text, F.lit("")).alias("name_roman_ipa"))
 
 
-def pronounce_names(names: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(name_k, name_r, name_ipa, name_roman_ipa) of distinct station or type names."""
+def pronounce_names(names: DataFrame, dictionary: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """(name_k, name_r, name_ipa, name_roman_ipa) of distinct station or type names; ``segments``: their speech segments, if known."""
     distinct = names.select("name_k", "name_r").distinct().withColumn(
         "name_ipa", F.nullif(P.kana_to_ipa(F.col("name_k")), F.lit("")))
-    return _left(distinct, joined_pronunciation(tts_segments(names, dictionary)))
+    return _left(distinct, joined_pronunciation(tts_segments(names, dictionary) if segments is None else segments))
 
 
-def pronounce_lines(names: DataFrame, dictionary: DataFrame) -> DataFrame:
+def pronounce_lines(names: DataFrame, dictionary: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """As for stations, but the reading's line ending is English and the romanised name has
     no kana to fall back on."""
     distinct = names.select("name_k", "name_r").distinct().withColumn("name_ipa", P.line_name_ipa(F.col("name_k")))
-    roman_only = names.select(F.lit("").alias("name_k"), "name_r").distinct()
-    spoken = joined_pronunciation(tts_segments(roman_only, dictionary)).select("name_r", "name_roman_ipa")
+    if segments is None:
+        segments = tts_segments(names.select(F.lit("").alias("name_k"), "name_r").distinct(), dictionary)
+    spoken = joined_pronunciation(segments).select("name_r", "name_roman_ipa")
     return distinct.join(spoken, "name_r", "left")
 
 
@@ -147,10 +148,11 @@ def speak(public: DataFrame, dictionary: DataFrame, lines: bool = False) -> Data
 
     Names are pronounced once each, however many rows share one, and joined back on (name_katakana, name_roman).
     """
-    names = public.select(F.col("name_katakana").alias("name_k"), F.col("name_roman").alias("name_r")).distinct()
-    spoken = (pronounce_lines if lines else pronounce_names)(names, dictionary)
+    # Names and segments are read by several branches, so each is made once: neither all rows nor the words are gone through again.
+    names = C.materialize(public.select(F.col("name_katakana").alias("name_k"), F.col("name_roman").alias("name_r")).distinct(), "names")
     asked = names.select(F.lit("").alias("name_k"), "name_r").distinct() if lines else names
-    parts = tts_segments(asked, dictionary)
+    parts = C.materialize(tts_segments(asked, dictionary), "segments")
+    spoken = C.materialize((pronounce_lines if lines else pronounce_names)(names, dictionary, parts), "spoken-names")
     fields = [c for c in ("token_no", "part", "surface", "pronunciation", "separator") if c in parts.columns]
     listed = parts.groupBy("name_k", "name_r").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("name_segments"))
     if lines:

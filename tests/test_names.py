@@ -104,3 +104,12 @@ def test_audit_cuts_names_into_words_once(spark, monkeypatch):
     assert plan.index("Generate") < plan.index("md5(")  # the digest is below the words, once a name
     assert "Generate explode(regexp_extract_all" not in bad._jdf.queryExecution().optimizedPlan().toString()
     assert "md5(" not in bad._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_cut_into_words_once(spark, monkeypatch):
+    public = spark.createDataFrame([(1, "カサイ", "Kasai Park"), (2, "カサイ", "Kasai Park"), (3, "シン", None)], "id int, name_katakana string, name_roman string")
+    want = {r.id: r for r in N.speak(public, N.english_words(spark)).collect()}
+    calls, real = [], N.tts_segments
+    monkeypatch.setattr(N, "tts_segments", lambda *a: calls.append(a) or real(*a))
+    got = {r.id: r for r in N.speak(public, N.english_words(spark)).collect()}
+    assert len(calls) == 1 and got == want and got[1].name_segments == got[2].name_segments

@@ -44,3 +44,39 @@ def test_line_hits_beyond_every_limit_are_pruned_before_the_shuffle(spark, make_
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.req_id, r.rank, r.line_cd) for r in out.collect())
     assert got == [(2, 1, 1), *((4, k, k) for k in range(1, 10))]
+
+
+def test_stations_are_ranked_by_name_or_met_from_the_origin(spark, make_network):
+    """Requests of one name share a ranking; requests with an origin are not joined with all hits of their name."""
+    import itertools
+    net = make_network(
+        lines=[dict(line_cd=k, line_name=f"L{k}", e_status=0) for k in (1, 2, 3)], types=[dict(id=1, type_cd=1, kind=0, priority=0)],
+        stations=[dict(station_cd=c, station_g_cd=c // 2, line_cd=1 + c % 3, station_name=f"Stop {c}", station_name_rn=f"Stop {c}", e_status=0,
+                       transport_type=c % 2) for c in range(12)],
+        station_station_types=[dict(id=10 + n, station_cd=c, type_cd=1, line_group_cd=g, **{"pass": p})
+                               for n, (c, g, p) in enumerate([(0, 5, 1), (3, 5, 0), (4, 5, 1), (6, 5, 0), (7, 6, 0), (3, 6, 0), (9, None, 0)])])
+    texts, froms, limits, kinds = ["stop", "Stop 1", "9", "none"], [None, 0, 1, 4], [None, 2], ["RailAndBus", "Rail", None]
+    asked = list(enumerate(itertools.product(texts, froms, limits, kinds)))
+    req = spark.createDataFrame([(i, *x) for i, x in asked], "req_id int, name string, from_group bigint, limit int, transport string")
+    got = {}
+    for r in L.search_stations(net, req).collect():
+        got.setdefault(r.req_id, []).append((r["rank"], r.station_cd, r.line_group_cd))
+    rows = [r.asDict() for r in sorted(net.sst.collect(), key=lambda r: r.id)]
+    typed = {r["station_cd"] for r in rows}
+    for i, (name, start, limit, kind) in asked:
+        want = []
+        for c in range(12):
+            if name.lower() not in f"stop {c}" or kind == "Rail" and c % 2:
+                continue
+            group = None
+            if start is not None:
+                mine = [s for s in range(12) if s // 2 == start]
+                known = {r["line_group_cd"] for r in rows if r["station_cd"] in mine} - {None}
+                group = next((r["line_group_cd"] for r in rows if r["station_cd"] == c and r["pass"] != 1 and r["line_group_cd"] in known), None)
+                same = [s for s in mine if s % 3 == c % 3]
+                if group is None and not (same and (c not in typed or any(s not in typed for s in same))):
+                    continue
+            want.append((c, group))
+        assert sorted(got.get(i, [])) == [(n + 1, *w) for n, w in enumerate(want[:limit])], asked[i]
+    plan = L.search_stations(net, req)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [row_number() windowspecdefinition(name#" in plan

@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.functions import kana
+from netloom.functions import english, kana
 from netloom.functions import phonetics as P
 from netloom.functions.text import katakana_to_hiragana
 from netloom.operators import common as C
 
-# Common English words of station and line names. (fixed values)  A full dictionary is a
-# table (word, ipa) passed by the caller; it replaces this list.
-ENGLISH = {
-    "airport": "ɛɚpɔɹt", "and": "ænd", "art": "ɑɹt", "avenue": "ævənuː", "beach": "biːtʃ", "branch": "bɹæntʃ",
-    "building": "bɪldɪŋ", "bus": "bʌs", "cable": "keɪbəl", "campus": "kæmpəs", "castle": "kæsəl",
-    "center": "sɛntɚ", "centre": "sɛntɚ", "central": "sɛntɹəl", "city": "sɪti", "commuter": "kəmjuːtɚ",
-    "east": "iːst", "electric": "ɪlɛktɹɪk", "entrance": "ɛntɹəns", "express": "ɪkspɹɛs", "ferry": "fɛɹi",
-    "for": "fɔɹ", "garden": "gɑɹdən", "general": "dʒɛnɚəl", "green": "gɹiːn", "hall": "hɔl", "high": "haɪ",
-    "hospital": "hɑspɪtəl", "international": "ɪntɚnæʃənəl", "island": "aɪlənd", "japan": "dʒəpæn",
-    "jr": "dʒeɪ ɑɹ", "keisei": "keːseː", "line": "laɪn", "liner": "laɪnɚ", "limited": "lɪmɪtɪd",
-    "local": "loʊkəl", "loop": "luːp", "main": "meɪn", "mae": "mae", "metro": "mɛtɹoʊ", "monorail": "mɑnoʊɹeɪl",
-    "museum": "mjuːziəm", "new": "nuː", "north": "nɔɹθ", "or": "ɔɹ", "park": "pɑɹk", "port": "pɔɹt",
-    "railway": "ɹeɪlweɪ", "rail": "ɹeɪl", "rapid": "ɹæpɪd", "red": "ɹɛd", "school": "skuːl", "seaside": "siːsaɪd",
-    "semi": "sɛmi", "sky": "skaɪ", "south": "saʊθ", "special": "spɛʃəl", "sports": "spɔɹts", "square": "skwɛɚ",
-    "stadium": "steɪdiəm", "station": "steɪʃən", "subway": "sʌbweɪ", "super": "suːpɚ", "terminal": "tɚmɪnəl",
-    "the": "ðə", "to": "tuː", "town": "taʊn", "train": "tɹeɪn", "tram": "tɹæm", "university": "juːnəvɚsəti",
-    "urban": "ɝbən", "west": "wɛst", "world": "wɝld", "zoological": "zuːəlɑdʒɪkəl",
-}
+# The whole word table of the service.  Another table (word, ipa) passed by the caller replaces it.
+ENGLISH = english.WORDS
 
 
 def english_words(spark: SparkSession) -> DataFrame:
@@ -174,21 +158,34 @@ def audit_pronunciation(names: DataFrame, dictionary: DataFrame, examples: int =
     ``names(ord, name_r)``; every occurrence counts.
     """
     trimmed = names.select("ord", F.trim("name_r").alias("name_r")).where("name_r <> ''")
-    # Words are counted per name under a digest, so long names are not shuffled with them. The digest is taken before the words are
-    # spread, once a name and not once a word.
-    keyed = trimmed.select("ord", F.md5(F.col("name_r").cast("binary")).alias("name_key"),
-                           P.name_tokens(F.col("name_r"), camel_case=False).alias("tokens"))
-    tokens = keyed.select("ord", "name_key", F.explode("tokens").alias("token"))
-    counted = (tokens.withColumn("token", P.normalize_token(F.col("token"))).where("token <> ''")
-               .groupBy("token", "name_key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")))
-    # Read for the words and for their counts, so the names are cut into words once.
-    counted = C.materialize(counted, "words")
-    parts = _word_parts(counted.select("token").distinct())
+    # The words of a name are sorted and counted inside its row, so nothing is shuffled to count them; a name stands as a digest, taken
+    # once a name and not once a word, so long names are not moved with their words.
+    keyed = trimmed.select("ord", _name_key(F.col("name_r")).alias("name_key"), F.sort_array(F.filter(
+        F.transform(P.name_tokens(F.col("name_r"), camel_case=False), P.normalize_token), lambda t: t != "")).alias("tokens"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    runs = keyed.where(F.size("tokens") > 0).withColumn("starts", starts)
+    counted = F.transform("starts", lambda i, k: F.struct(
+        F.get("tokens", i).alias("token"), (F.coalesce(F.get("starts", k + 1), F.size("tokens")) - i).cast("bigint").alias("n")))
+    # Read for the words, their counts and their names, so the names are cut into words once.
+    words = C.materialize(runs.select("ord", "name_key", F.explode(counted).alias("w")).select("ord", "name_key", "w.*"), "words")
+    counts = C.materialize(words.groupBy("token").agg(F.sum("n").alias("count")), "word-counts")
+    parts = _word_parts(counts.select("token"))
     sounds = resolve_words(parts.select("norm").distinct(), dictionary)
     silent = (parts.join(sounds, "norm").groupBy("token")
               .agg(F.bool_or(F.col("pronunciation").isNull()).alias("silent")).where("silent").select("token"))
-    bad = C.materialize(counted.join(silent, "token", "left_semi"), "silent-words")
-    counts = bad.groupBy("token").agg(F.sum("n").alias("count"))
-    first = C.first_n(bad, ["token"], [F.col("ord")], examples)
-    shown = first.join(trimmed, "ord").groupBy("token").agg(F.array_sort(F.collect_list("name_r")).alias("examples"))
-    return counts.join(shown, "token")
+    bad = C.materialize(counts.join(silent, "token", "left_semi"), "silent-words")
+    # A name that comes again, with a later ord, is no other name. What is left of a name are rows with one ord, which share a rank.
+    again = words.select("name_key", "ord").distinct()
+    first = again.groupBy("name_key").agg(F.min("ord").alias("_ord"))
+    again = again.join(first, "name_key").where(~F.col("ord").eqNullSafe(F.col("_ord"))).drop("_ord")
+    order = Window.partitionBy("token").orderBy(F.col("ord").asc_nulls_last(), "name_key")
+    # Pruned to ``examples`` names a word before words are shuffled.
+    shown = (_null_safe(words.drop("n"), again, ["name_key", "ord"], "left_anti").withColumn("_rank", F.dense_rank().over(order))
+             .where(F.col("_rank") <= examples).drop("_rank").distinct().join(bad, "token"))
+    texts = trimmed.groupBy(F.md5(F.col("name_r").cast("binary")).alias("_key")).agg(F.min("name_r").alias("name_r"))
+    named = shown.withColumn("_key", F.lower(F.hex("name_key"))).join(texts, "_key")
+    return named.groupBy("token", "count").agg(F.array_sort(F.collect_list("name_r")).alias("examples"))
+
+
+def _name_key(name: Column) -> Column:
+    return F.unhex(F.md5(name.cast("binary")))

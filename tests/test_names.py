@@ -92,6 +92,21 @@ def test_audit(spark):
     assert got == [("bqx", 5, ["Bqx", "Bqx Bqx", "Bqx Park"]), ("zzq", 1, ["Zzq"])]
 
 
+def test_audit_of_names_without_or_with_repeated_ord(spark):
+    names = spark.createDataFrame([(1, "Bqx Park. bqx."), (1, "Bqx Park. bqx."), (1, "Bqx"), (2, "Bqx"), (5, "Zbqx"), (3, "Bqx Bqx"), (4, "Bqx a"), (None, "Nqq bqx"),
+                                   (None, "Nqq bqx"), (None, None)], "ord int, name_r string")
+    got = sorted(tuple(r) for r in N.audit_pronunciation(names, N.english_words(spark)).collect())
+    assert got == [("bqx", 11, ["Bqx", "Bqx Bqx", "Bqx Park. bqx."]), ("nqq", 2, ["Nqq bqx"]), ("zbqx", 1, ["Zbqx"])]
+
+
+def test_the_whole_word_table_is_spoken(spark):
+    assert len(N.ENGLISH) == 322 and N.ENGLISH["centre"] == N.ENGLISH["center"]
+    names = spark.createDataFrame([(1, "Skyliner through Village"), (2, "Mt.Fuji qqz"), (3, "St. Mary's Police School")], "ord int, name_r string")
+    assert [r.token for r in N.audit_pronunciation(names, N.english_words(spark)).collect()] == ["qqz"]
+    said = N.pronounce_names(spark.createDataFrame([("スカイ", "Skyliner Plaza")], "name_k string, name_r string"), N.english_words(spark)).first()
+    assert said.name_roman_ipa == f"{N.ENGLISH['skyliner']} {N.ENGLISH['plaza']}"
+
+
 def test_audit_cuts_names_into_words_once(spark, monkeypatch):
     written = []
     real = N.C.materialize

@@ -83,3 +83,18 @@ def test_a_patterns_rows_are_complete_before_they_are_repeated(spark, make_netwo
     assert got == [(q, t, s, "c", 1) for q, t in ((7, 1), (8, 2), (9, 1)) for s in (1, 2)]
     joins = [x for x in lines._jdf.queryExecution().analyzed().toString().splitlines() if "Join" in x]
     assert "Join Inner" in joins[0]  # the last join is the one with the requests' train types
+
+
+def test_shown_types_join_a_patterns_rows_before_rides_repeat_them(spark, net):
+    req = spark.createDataFrame([(1, 2, 200, 203)], "req_id int, line_group_cd bigint, from_station bigint, to_station bigint")
+    none = spark.createDataFrame([], "line_cd bigint, kind int, kmh double")
+    bounded = net.with_tables(bounds={"pattern": 10})  # no step is written, so the plan is whole
+    plan = eta.train_route(bounded, req, none)[0]._jdf.queryExecution().analyzed().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    joins = []
+    for i, line in enumerate(plan):
+        if "Join LeftOuter" in line:
+            end = next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(line)), len(plan))
+            joins.append("\n".join(plan[i:end]))
+    shown = [j for j in joins if "max_by(kind" in j]
+    assert shown and any("Generate explode(sequence" not in j for j in shown)
